@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,8 +27,23 @@ def local_session(cpus: int = 8, partitions: int = 8, memory: str = "8g") -> Spa
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_foldsieve_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="foldsieve-")) / "foldsieve.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._foldsieve_shipped = True
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A driver table by name."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -55,4 +72,12 @@ def work_table(df: DataFrame, name: str) -> DataFrame:
     """
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._work_path = path
+    return table
+
+
+def drop_table(table: DataFrame) -> None:
+    """Delete a work table that no later step reads."""
+    hadoop = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table._work_path)
+    hadoop.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
