@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldsieve.llm import html, media, mixing, quality, sentencepieces, sharding, tokens
+from foldsieve.llm import bagminhash, html, media, mixing, quality, sentencepieces, sharding, suffixes, tokens
 from foldsieve.session import read
 
 
+def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removal_digests(read(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
@@ -30,6 +34,10 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(read(spark, sf_dir, "documents"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicate_classes(read(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_file_digests(read(spark, sf_dir, "documents"))
 
@@ -44,11 +52,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
+        op1_suffixes,
         op2_sharding,
         op3_quality,
         op4_sentencepiece,
         op5_token_counts,
         op6_media,
+        op7_near_duplicates,
         op8_token_files,
         op9_html,
         op10_mixing,
