@@ -261,3 +261,14 @@ def quality_verdicts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per document: key, the base statistics, base_failed, kept, distance."""
     out = judged(base_statistics(docs, key))
     return out.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """docs' rows that are kept, columns as in docs. A verdict depends on language, source and text only."""
+    keys = ["lang", "source", "content"]
+    content = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    verdicts = judged(base_statistics(docs.withColumn("__content", content), "__content").withColumnRenamed("__content", "content"))
+    good = work_table(verdicts.where("kept").select(*keys).distinct(), "good")
+    rows = docs.withColumn("__content", content)
+    same = (rows["__content"] == good["content"]) & rows["lang"].eqNullSafe(good["lang"]) & rows["source"].eqNullSafe(good["source"])
+    return rows.join(good, same, "left_semi").select(*docs.columns)
