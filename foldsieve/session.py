@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -49,10 +50,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a fresh temporary one only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_foldsieve_folder", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="foldsieve-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        # no cluster names one: a local session, as in tests
+        folder = context._foldsieve_folder = "file://" + tempfile.mkdtemp(prefix="foldsieve-")
     return folder.rstrip("/")
 
 
@@ -77,6 +79,17 @@ def work_table(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver forget finished steps, so that their shuffle files go from the executors' disks.
+
+    Spark deletes a shuffle's files once the driver's garbage collector finds
+    its plan unreachable; between steps that move the texts we do not wait for
+    that to happen by chance.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_table(table: DataFrame) -> None:
     """Delete a work table that no later step reads."""
     hadoop = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table._work_path)

@@ -30,9 +30,12 @@ def with_base64(files: DataFrame) -> DataFrame:
 
 def file_metadata(spark: SparkSession, folder: str) -> DataFrame:
     """filename, width, height, aspect, is_jpeg (by extension), filesize."""
+    # the two sources spell a local file's address differently
+    place = F.regexp_replace(F.col("path"), "^[A-Za-z0-9]+:/+", "/")
     images = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(folder)
-    sizes = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+    sizes = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(place.alias("path"), "length")
     pixels = images.select(F.col("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"))
+    pixels = pixels.withColumn("path", place)
     name = scalar.basename(F.col("path"))
     return sizes.join(pixels, "path").select(
         name.alias("filename"),
