@@ -123,9 +123,9 @@ def mixed_rows(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int
     reaches 1. Documents are kept whole here, so a source overshoots its target
     by less than one document. Columns as in docs.
     """
-    columns = docs.columns
     size = n_words(F.col("text"))
-    sized = docs.withColumn("size", size).withColumn("turn", queue_key(F.col("doc_id"), F.col("size")))
+    # the row travels as one value, so that its columns may have any names
+    sized = docs.select(F.struct(*docs.columns).alias("row"), "source", size.alias("size"), queue_key(F.col("doc_id"), size).alias("turn"))
     sized = sized.withColumn("bucket", F.substring("turn", 1, BUCKET_DIGITS))
     narrow = work_table(sized.select("source", "size", "bucket"), "mix-sizes")
     sums = narrow.groupBy("source", "bucket").agg(F.sum("size").cast("long").alias("words"))
@@ -134,7 +134,7 @@ def mixed_rows(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int
     passes = F.filter(starts, lambda s: (s < F.col("target")) | ((s == 0) & (F.col("size") == 0)))
     rows = queued.withColumn("start", F.explode(passes))
     time = F.when(F.col("target") > 0, F.col("start") / F.col("target")).otherwise(F.lit(0.0))
-    return rows.withColumn("time", time).repartitionByRange("time", "turn").sortWithinPartitions("time", "turn").select(*columns)
+    return rows.withColumn("time", time).repartitionByRange("time", "turn").sortWithinPartitions("time", "turn").select("row.*")
 
 
 MIX_SQL = """

@@ -244,7 +244,8 @@ def _batches(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[s
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with the column ids, array<int>."""
+    """docs with the column ids, array<int>; a column of that name is replaced."""
+    docs = docs.drop(ids)
     path = path or vocabulary_path(MODEL)
     place = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
@@ -265,7 +266,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text
 
 
 def decode_documents(rows: DataFrame, path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """rows with the column text, decoded from ids; null ids give an empty text."""
+    """rows with the column text, decoded from ids; null ids give an empty text; a column of that name is replaced."""
+    rows = rows.drop(text)
     path = path or vocabulary_path(MODEL)
     place = rows.columns.index(ids)
     schema = T.StructType([*rows.schema.fields, T.StructField(text, T.StringType())])

@@ -1,0 +1,417 @@
+"""Every operator against a brute-force version, on odd rows and on an empty table."""
+
+import hashlib
+import itertools
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from foldsieve.llm import bagminhash, html, media, mixing, quality, sentencepieces, sharding, shingles, suffixes, tokens
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
+
+
+def jump(key: int, n: int) -> int:
+    key &= (1 << 64) - 1
+    b, j = -1, 0
+    while j < n:
+        b = j
+        key = (key * 2862933555777941757 + 1) & ((1 << 64) - 1)
+        j = int((b + 1) * (float(1 << 31) / float((key >> 33) + 1)))
+    return b
+
+
+def test_sharding(docs, texts, empty):
+    rows = sharding.shard_documents(docs, 7).collect()
+    assert len(rows) == len(texts)
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == Counter((k, len(t.encode()) + 16, zlib.crc32(t.encode())) for k, t in texts)
+    for r in rows:
+        assert (r.shard, r.grown_shard) == (jump(r.doc_id or 0, 7), jump(r.doc_id or 0, 8))
+        assert r.grown_shard in (r.shard, 7)
+    for shard in {r.shard for r in rows}:
+        slots = sorted(r.slot for r in rows if r.shard == shard)
+        assert slots == list(range(len(slots)))
+    assert sharding.shard_documents(empty).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 9, 10, 11, 64])
+def test_jump_for_any_count(spark, n):
+    keys = [0, 1, -1, 2**63 - 1, -(2**63), 12345678901234567]
+    rows = sharding.with_shards(spark.createDataFrame([(k,) for k in keys], "k long"), "k", n).collect()
+    assert [(r.shard, r.grown_shard) for r in rows] == [(jump(k, n), jump(k, n + 1)) for k in keys]
+
+
+def fill(sizes: dict, share=1.5, most=2, weights=(5, 2, 1)) -> dict:
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[i % 3] for i, s in enumerate(names)}
+    target, left, free = {}, share * sum(sizes.values()), set(names)
+    while True:
+        level = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if level[s] > most * sizes[s]}
+        if not over:
+            return target | level
+        for s in over:
+            target[s] = most * sizes[s]
+            left -= target[s]
+        free -= over
+
+
+def test_mixing(docs, texts, empty):
+    rows = mixing.mix_sources(docs).collect()
+    sizes = Counter((r.doc_id, r.size) for r in rows)
+    assert sizes == Counter((k, len(WORD.findall(t))) for k, t in texts)
+    total = defaultdict(int)
+    for r in docs.collect():
+        total[r.source] += len(WORD.findall(r.text or ""))
+    want = fill(total)
+    by_target = defaultdict(int)
+    for r in rows:
+        assert 0 <= r.taken <= 2 * r.size
+        by_target[round(r.target, 6), r.source_size] += r.taken
+    for source, target in want.items():
+        assert by_target[round(target, 6), total[source]] == pytest.approx(target, abs=1)
+    assert sorted(map(str, mixing.mix_sources(docs.repartition(3)).collect())) == sorted(map(str, rows))
+    assert mixing.mix_sources(empty).count() == 0
+
+
+def test_mixed_rows_are_whole_documents(docs, texts):
+    rows = mixing.mixed_rows(docs).collect()
+    assert set(docs.columns) == set(rows[0].asDict())
+    assert max(Counter((r.doc_id, r.text, r.rid) for r in rows if r.text and r.doc_id not in (0, 12, 13, 14)).values()) <= 2
+    budget = 1.5 * sum(len(WORD.findall(t)) for _, t in texts)
+    longest = max(len(WORD.findall(t)) for _, t in texts)
+    assert abs(sum(len(WORD.findall(r.text or "")) for r in rows) - budget) <= 4 * longest
+
+
+def base(text: str) -> tuple:
+    words = WORD.findall(text)
+    counts = Counter(zip(words, words[1:], words[2:]))
+    hit = {i + d for i in range(len(words) - 2) if counts[tuple(words[i : i + 3])] > 1 for d in range(3)}
+    seen, repeats = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            repeats += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), repeats, len(hit)
+
+
+def test_quality(docs, texts, empty, spark, prose):
+    rows = quality.quality_verdicts(docs).collect()
+    found = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in rows)
+    assert found == Counter((k, *base(t)) for k, t in texts)
+    for r in rows:
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
+        assert not (r.base_failed and r.kept)
+    kept = {r.doc_id: r.kept for r in rows}
+    symbols = [k for k, t in texts if t.count("###") > 50]
+    assert len(symbols) == 4 and not any(kept[k] for k in symbols)
+    plain = [k for k, t in texts if 100 <= len(t.split()) <= 130 and "#" not in t]
+    assert all(kept[k] for k in plain)
+    assert quality.quality_verdicts(empty).count() == 0
+    good = quality.keep_good(docs)
+    assert good.columns == docs.columns
+    assert Counter(r.doc_id for r in good.collect()) == Counter(r.doc_id for r in rows if r.kept)
+
+
+def test_repeat_words_with_many_doubled_windows(spark, prose):
+    text = prose(5, 700) + " " + prose(5, 700) + " " + prose(6, 50)
+    frame = spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string")
+    assert quality.base_statistics(frame).first().n_repeat_words == base(text)[4] > 1300
+
+
+def test_scatter_is_the_covered_covariance(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal([1.6, 0.3, 0.2, 0.1], [0.2, 0.1, 0.3, 0.2], (400, 4))
+    x[:40] += [3, 2, 1, 1]
+    frame = spark.createDataFrame([("g", *map(float, r)) for r in x], ["group", *quality.FEATURES])
+    found = quality.estimates(frame).first()
+    mean = np.array([found[f"m{j}"] for j in range(4)])
+    low = np.zeros((4, 4))
+    for j in range(4):
+        for k in range(j + 1):
+            low[j, k] = found[f"l{j}{k}"]
+    distance = ((np.linalg.solve(low, (x - mean).T)) ** 2).sum(0)
+    assert distance[:40].min() > np.quantile(distance[40:], 0.99)  # the outliers do not mask themselves
+    assert np.abs(mean - x[40:].mean(0)).max() < 0.06
+
+
+def test_sentencepieces(docs, texts, empty):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=tokens.vocabulary_path(sentencepieces.MODEL))
+    rows = sentencepieces.encode_documents(docs).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.ids == library.encode(r.text or ""), r.text
+    back = sentencepieces.decode_documents(sentencepieces.encode_documents(docs)).collect()
+    assert all(r.decoded == (r.text or "").replace("▁", " ") for r in back)
+    assert all(r.lossless for r in sentencepieces.encoding_digests(docs).collect())
+    assert sentencepieces.encode_documents(empty).count() == 0
+
+
+def test_token_counts(docs, texts, empty):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokens.vocabulary_path(tokens.VOCABULARY))
+    want = Counter((k, len(t.encode()), n := len(library.encode(t, add_special_tokens=False)), n > 2048) for k, t in texts)
+    assert Counter(map(tuple, tokens.token_counts(docs).collect())) == want
+    assert tokens.token_counts(empty).count() == 0
+
+
+def test_segments_cover_long_texts(prose):
+    text = prose(8, 3000) + "\n" + "y" * 9000 + " end"
+    parts = list(tokens.segments(text, 1000))
+    assert "".join(parts) == text and len(parts) > 10
+
+
+def test_token_files(docs, texts, empty):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokens.vocabulary_path(tokens.VOCABULARY))
+    rows = sorted(tokens.token_file_digests(docs).collect(), key=lambda r: r.start)
+    ids = {}
+    for k, t in texts:
+        ids.setdefault(k, []).append([*library.encode(t, add_special_tokens=False).ids, 2])
+    at, last = 0, -1
+    for r in rows:
+        assert r.start == at and (r.doc_id if r.doc_id is not None else -1) >= last
+        match = [x for x in ids[r.doc_id] if len(x) == r.n_tokens and zlib.crc32(np.asarray(x, "<u4").tobytes()) == r.ids_crc32]
+        assert match
+        ids[r.doc_id].remove(match[0])
+        at, last = at + r.n_tokens, r.doc_id if r.doc_id is not None else -1
+    assert not any(ids.values())
+    assert tokens.token_file_digests(empty).count() == 0
+
+
+def test_token_files_are_read_by_column(docs, spark, tmp_path):
+    folder = f"file://{tmp_path}/ids"
+    tokens.write_token_files(docs, folder)
+    plan = spark.read.parquet(folder).select("n_tokens")._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<n_tokens:bigint>" in plan
+    assert tokens.read_token_files(spark, folder).count() == docs.count()
+
+
+def test_media(docs, texts, empty):
+    rows = media.media_digests(docs).collect()
+    assert len(rows) == len(texts)
+    want = Counter()
+    for k, t in texts:
+        data = t.encode()
+        data += b"\0" * (-len(data) % 64 if data else 64)
+        want[k, len(t.encode()), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:])] += 1
+    assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in rows) == want
+    assert media.media_digests(empty).count() == 0
+
+
+def test_carving_and_types(spark):
+    import gzip
+    import io
+    import struct
+    import zipfile
+
+    def chunk(kind, body):
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\7")) + chunk(b"IEND", b"")
+    gif = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0, 0, 0) + b"\x2c" + bytes(8) + b"\0" + b"\x02\x02\x44\x01\0" + b"\x3b"
+    jpeg = b"\xff\xd8\xff\xe0" + struct.pack(">H", 4) + b"ab" + b"\xff\xda" + struct.pack(">H", 4) + b"cd" + b"\x01\xff\x00\x02" + b"\xff\xd9"
+    box = io.BytesIO()
+    with zipfile.ZipFile(box, "w") as z:
+        z.writestr("a", b"hello" * 50)
+    parts = [png, gif, jpeg, gzip.compress(b"abc" * 500), box.getvalue(), media.wave(bytes(64)), b"%PDF-1.4\nx\nstartxref\n0\n%%EOF"]
+    kinds = ["image/png", "image/gif", "image/jpeg", "application/gzip", "application/zip", "audio/wav", "application/pdf"]
+    for data, kind in zip(parts, kinds):
+        assert media.carve(data) == [(0, len(data), kind)]
+        assert media.carve(data[:-3]) == []
+    mixed = b"BM junk " + b"--".join(parts)
+    found = media.carve(mixed)
+    assert [k for _, _, k in found] == kinds and [mixed[o : o + n] for o, n, _ in found] == parts
+    rows = spark.createDataFrame([(1, png, "image/jpeg"), (2, b"text", "text/plain"), (3, None, None), (4, mixed, "x")], "id int, media binary, declared string")
+    out = {r.id: r for r in media.sniff(rows).collect()}
+    assert (out[1].type, out[1].confirmed, out[1].corrected) == ("image/png", True, True)
+    assert (out[2].type, out[2].confirmed, out[2].corrected) == ("text/plain", False, False)
+    assert out[3].type is None and out[3].parts == []
+    cut = media.cut_parts(media.sniff(rows)).where("id = 4").orderBy("offset").collect()
+    assert [bytes(r.bytes) for r in cut] == parts
+
+
+def test_bagminhash_is_unbiased(prose):
+    import random
+
+    rng, left, right = random.Random(4), [], []
+    for i in range(60):
+        words = prose(400 + i, 60, 30).split()
+        other = list(words)
+        for _ in range(rng.randrange(8)):
+            other[rng.randrange(60)] = "zz"
+        left.append(" ".join(words + words[:12] * (i % 4)).encode())
+        right.append(" ".join(other + other[:12] * (i % 3)).encode())
+
+    def bag(t):
+        w = t.split()
+        return Counter(zip(*(w[i:] for i in range(5))))
+
+    want = np.array([sum((bag(a) & bag(b)).values()) / sum((bag(a) | bag(b)).values()) for a, b in zip(left, right)])
+    assert np.abs(shingles.overlaps(left, right) - want).max() < 1e-12
+    a, b = bagminhash.signatures(left, 2048)[0], bagminhash.signatures(right, 2048)[0]
+    assert abs(((a == b).mean(1) - want).mean()) < 0.006
+    assert np.abs((a == b).mean(1) - want).max() < 0.06
+    again = np.concatenate([bagminhash.signatures([t], 2048)[0] for t in left])
+    assert (a == again).all()  # a signature does not depend on the batch
+
+
+def brute_classes(texts):
+    bags = {}
+    for i, (_, t) in enumerate(texts):
+        w = WORD.findall(t)
+        bags[i] = Counter(zip(*(w[j:] for j in range(5)))) if len(w) >= 5 else Counter([tuple(w)] if w else [])
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        union = sum((bags[i] | bags[j]).values())
+        if texts[i][1] == texts[j][1] or union and sum((bags[i] & bags[j]).values()) / union >= 0.8:
+            a, b = root(i), root(j)
+            parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(texts))]
+
+
+def partition(labels):
+    groups = defaultdict(list)
+    for member, label in labels:
+        groups[label].append(member)
+    return Counter(tuple(sorted(map(str, g))) for g in groups.values())
+
+
+@pytest.mark.parametrize("small,block", [(16, 256), (1, 4)])
+def test_near_duplicates(docs, texts, empty, small, block, monkeypatch):
+    monkeypatch.setattr(bagminhash, "SMALL", small)
+    monkeypatch.setattr(bagminhash, "BLOCK", block)
+    found = bagminhash.near_duplicates(docs).collect()
+    want = partition((k, c) for (k, _), c in zip(texts, brute_classes(texts)))
+    assert partition((r.doc_id, r.class_tk) for r in found) == want
+    if small == 16:
+        kept = bagminhash.keep_one(docs)
+        assert kept.columns == docs.columns and kept.count() == len(found and {r.class_tk for r in found})
+        assert bagminhash.near_duplicate_classes(empty).count() == 0
+
+
+def test_family_of_near_copies(spark, prose):
+    """Many copies edited apart: some pairs above, some under the threshold."""
+    import random
+
+    rng, base_words, texts = random.Random(9), prose(50, 200).split(), []
+    for i in range(90):
+        words = list(base_words)
+        for _ in range(rng.randrange(2, 8)):
+            words[rng.randrange(200)] = f"e{i}x{rng.randrange(9)}"
+        texts.append((i, " ".join(words)))
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    found = bagminhash.near_duplicates(frame).collect()
+    assert partition((r.doc_id, r.class_tk) for r in found) == partition((k, c) for (k, _), c in zip(texts, brute_classes(texts)))
+
+
+def brute_removal(texts, length=200):
+    counts = Counter()
+    for _, t in texts:
+        counts.update(t[i : i + length] for i in range(len(t) - length + 1))
+    for key, t in texts:
+        covered = bytearray(len(t))
+        for i in range(len(t) - length + 1):
+            if counts[t[i : i + length]] > 1:
+                covered[i : i + length] = b"\1" * length
+        runs = sum(1 for i, c in enumerate(covered) if c and (not i or not covered[i - 1]))
+        kept = bytes(b for b, c in zip(t, covered) if not c)
+        yield key, len(t), sum(covered), runs, hashlib.sha256(kept).hexdigest()
+
+
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_suffix_removal(docs, texts, empty, hot, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    short = [(k, t.encode()) for k, t in texts if len(t) < 50000]
+    frame = docs.where("text is null or length(text) < 50000")
+    assert Counter(map(tuple, suffixes.removal_digests(frame).collect())) == Counter(brute_removal(short))
+    if hot == 4096:
+        assert suffixes.removal_digests(docs).count() == len(texts)
+        assert suffixes.removal_digests(empty).count() == 0
+
+
+def test_long_texts_are_cut_into_segments(prose, monkeypatch):
+    text = prose(7, 9000).encode()
+    whole = suffixes.anchors([text, b"abc"])
+    monkeypatch.setattr(suffixes, "SEGMENT", 1000)
+    parts = suffixes.anchors([text, b"abc"])
+    for a, b in zip(whole, parts):
+        assert np.array_equal(a, b)
+
+
+def test_removed_texts_stay_whole_characters(spark):
+    passage = "ünïcødé pässage " * 20
+    frame = spark.createDataFrame([(1, "é" + passage + "a tail", "x"), (2, "è" + passage + "b tail", "y"), (3, passage, "z")], "doc_id long, text string, rid string")
+    rows = {r.doc_id: r.text for r in suffixes.remove_repeats(frame).collect()}
+    assert 3 not in rows and rows[1].endswith("a tail") and rows[1].startswith("é")
+
+
+def test_html(spark):
+    page = (
+        '<html><head><title>T</title><script>var a="<p>";</script></head><body><header>top</header><nav><ul><li>menu</ul></nav>'
+        '<div class="cookie-notice">cookies</div><article><h1>Head &amp; line</h1><p>one<br>two  three<!-- c --><p>f<b>ou</b>r&nbsp;five'
+        '<form>no</form><aside>side</aside><ul><li>x<li>y</ul><section id="comments"><p>first!</section></article><footer>foot</footer></body></html>'
+    )
+    plain = "<body><div><p>shared notice of the site</p></div><div id=m{0}><p>own text {0}</p></div></body>"
+    rows = [(1, "http://a.example/x", page, "z"), (2, None, None, "z"), (3, "http://a.example/y", "", "z")]
+    rows += [(10 + i, f"https://U@B.example:80/{i}", plain.format("abcdefgh"[i]), "z") for i in range(8)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    found = {r.page_id: r for r in html.extract_main_text(frame).collect()}
+    assert found[1].text == "Head & line\none two three\nfour five\nx\ny" and found[1].n_chars == len(found[1].text)
+    assert found[2].text == found[3].text == "" and found[2].n_chars == 0
+    assert [found[10 + i].text for i in range(8)] == [f"own text {'abcdefgh'[i]}" for i in range(8)]
+    assert html.extract_main_text(frame.limit(0)).count() == 0
+    assert html.Page("<p>a<!-- open").main_text() == "a"
+    assert html.Page("<nav>x<article><p>y").main_text() == "y"
+
+
+def test_style_tree_importance(spark):
+    nodes = [("h", 1, 1, 7)] * 6 + [("h", 2, 1, i) for i in range(6)] + [("h", 3, 1, 9)] * 4 + [("h", 3, 1, i) for i in range(2)]
+    frame = spark.createDataFrame(nodes, "host string, path long, kind int, value long")
+    entries = {(e.path, e.value) for e in html.low_branches(frame).first().entries}
+    assert (1, None) in entries and (1, 7) in entries and (3, 9) in entries and not {p for p, _ in entries} & {2}
+
+
+def test_pipeline(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    step = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, step = step, stage(spark, step, str(tmp_path))
+        assert step.columns == docs.columns, name
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert all(r.n_tokens == len(r.ids) for r in rows)
+    # brute force: base rule and symbols, one of each class, repeated strings out
+    kept = [(r.doc_id, r.text) for r in quality.keep_good(docs).collect()]
+    classes, first = brute_classes(kept), {}
+    for (k, t), c in zip(kept, classes):
+        first[c] = min(first.get(c, (k, t)), (k, t), key=lambda x: (x[0] is not None, x[0] or 0))
+    left = {k for k, *_ in first.values()}
+    assert {r.doc_id for r in rows} <= left
+    assert max(Counter((r.doc_id, r.text) for r in rows).values()) <= 2
+    assert before.count() >= 1
+
+
+def test_queries_are_registered(spark):
+    import __spark_entry__ as entry
+
+    found = entry.queries()
+    for n in range(1, 11):
+        assert any(re.match(rf"op{n}_", name) for name in found), n
+    assert "pipeline" in found and set(entry.oracle_sql()) <= set(found)
+    assert F is not None
