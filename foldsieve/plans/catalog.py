@@ -28,7 +28,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from foldsieve.plans import learned, media, texts  # noqa: F401  each registers its own
+    from foldsieve.plans import learned, media, reports, texts  # noqa: F401  each registers its own
 
     return dict(QUERIES)
 
