@@ -12,10 +12,12 @@ logarithm of their count.
 
 Signatures are cut into bands. Texts that agree in a band share a bucket.
 Buckets are linked by stars, not by all pairs: first to the smallest text of the
-bucket, then, component by component, to the smallest of other components under
-a salted order. What is left in a bucket that still holds several components is
-compared exactly: texts of different components, once each. Texts in one
-component need no more comparison. Every link is verified on the whole texts.
+bucket, then one text of every component, drawn by a salted order, to one of the
+bucket's largest component. What is left in a bucket that still holds several
+components is compared exactly: texts of different components, as pairs in small
+buckets, and in large ones block against block inside a task, which gives out
+links alone. Texts in one component need no more comparison. Every link is
+verified on the whole texts.
 
 With BANDS bands of ROWS registers, a pair at similarity 0.8 shares no band with
 probability below 1e-4, and less above.
@@ -46,9 +48,11 @@ from foldsieve.session import work_table
 
 ROWS, BANDS = 7, 40
 SIMILARITY = 0.8
-#: Similarity of two signatures under which a pair is not verified: six standard deviations below 0.8.
-SKETCH_MARGIN = 6.0
+#: Similarity of two signatures under which a pair is not verified: five standard deviations below 0.8.
+SKETCH_MARGIN = 5.0
 BATCH_BYTES = 1 << 20
+#: Buckets up to SMALL texts are compared as pairs, larger ones in blocks of about BLOCK.
+SMALL, BLOCK = 16, 256
 GOLDEN = U(0x9E3779B97F4A7C15)
 #: Times are whole ticks, so that sums do not depend on how events are grouped.
 TICKS, NEVER = 2.0**40, np.iinfo(np.int64).max
@@ -187,10 +191,12 @@ def near_duplicates(
     sketch = unique.select("tk", "sketch")
     spread = unique.select("tk", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.min("tk").alias("a"), F.max("tk").alias("z")).where("a <> z").select("bucket", "a")
+    # a table, so that Spark can split the rows of a hot bucket over many tasks
+    shared = work_table(shared, "shared-buckets")
     members = work_table(spread.join(shared, "bucket").select("bucket", "a", F.col("tk").alias("b")), "buckets")
     # one row of documents per text that is in a bucket with others
     wanted = members.select(F.col("b").alias("tk")).distinct()
-    first = signed.join(wanted, "tk").groupBy("tk").agg(F.min(key).alias(key))
+    first = signed.groupBy("tk").agg(F.min(key).alias(key)).join(wanted, "tk")
     rows_of = docs.select(key, "text").withColumn("tk", text_key(F.col("text"))).join(first, ["tk", key], "left_semi")
     texts = work_table(rows_of.select("tk", "text"), "texts").dropDuplicates(["tk"])
 
@@ -202,22 +208,84 @@ def near_duplicates(
     for salt in (1, 2):
         held = _held(members, links)
         order = F.xxhash64(F.lit(salt), "tk")
-        best = held.groupBy("bucket", "component").agg(F.min_by("tk", order).alias("tk"))
-        star = best.groupBy("bucket").agg(F.min_by("tk", F.struct(F.xxhash64(F.lit(salt), "component"), "tk")).alias("hub"))
+        best = held.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.min_by("tk", order).alias("tk"))
+        star = best.groupBy("bucket").agg(F.max_by("tk", F.struct("n", F.xxhash64(F.lit(salt), "component"), "tk")).alias("hub"))
         more = best.join(star, "bucket").where("tk <> hub").select(F.least("tk", "hub").alias("a"), F.greatest("tk", "hub").alias("b"))
         more = work_table(more.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionByName(more)
         links = links.unionByName(verify(more, "links"))
-    held = work_table(_held(members, links), "held")
-    left = held.select("bucket", F.col("tk").alias("a"), F.col("component").alias("ca"))
-    right = held.select("bucket", F.col("tk").alias("b"), F.col("component").alias("cb"))
+    held = _held(members, links)
+    sizes = held.groupBy("bucket").agg(F.count("*").alias("size"))
+    held = work_table(held.join(sizes, "bucket"), "held")
+    small = held.where(F.col("size") <= SMALL)
+    left = small.select("bucket", F.col("tk").alias("a"), F.col("component").alias("ca"))
+    right = small.select("bucket", F.col("tk").alias("b"), F.col("component").alias("cb"))
     rest = left.join(right, "bucket").where("a < b and ca <> cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    links = work_table(links.unionByName(verify(rest, "links")), "links")
+    large = _in_blocks(held.where(F.col("size") > SMALL), sketch, texts, similarity, rows * bands)
+    links = work_table(links.unionByName(verify(rest, "links")).unionByName(large), "links")
     found = connected_components(links, "a", "b")
     out = signed.select(key, "tk").join(found, F.col("tk") == F.col("node"), "left")
     return out.select(key, "tk", F.coalesce("component", "tk").alias("class_tk"))
 
 
+def _in_blocks(held: DataFrame, sketch: DataFrame, texts: DataFrame, similarity: float, registers: int) -> DataFrame:
+    """Links (a, b) between components of large buckets.
+
+    A bucket's texts are dealt into blocks of about BLOCK; every two blocks meet
+    in one task's memory, where sketches choose and whole texts confirm, and
+    texts already linked there are not compared again.
+    """
+    least = similarity - SKETCH_MARGIN * (similarity * (1 - similarity) / registers) ** 0.5
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = held.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("tk"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cells = own.select("bucket", "tk", "component", "block", other.alias("other"))
+    cells = cells.select("bucket", "tk", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rows = cells.join(sketch, "tk").join(texts, "tk").select("bucket", "i", "j", "block", "tk", "component", "sketch", "text")
+
+    def links(cell: list[tuple]) -> Iterator[tuple[int, int]]:
+        i, j = cell[0][1:3]
+        block = np.asarray([r[3] for r in cell])
+        tk, body = [r[4] for r in cell], [(r[7] or "").encode() for r in cell]
+        marks = np.frombuffer(b"".join(r[6] for r in cell), "<u2").reshape(len(cell), -1)
+        group = np.asarray([r[5] for r in cell])
+        for x in range(len(cell)):
+            far = group != group[x]
+            far[: x + 1] &= False
+            if i != j:
+                far &= block != block[x]
+            near = np.flatnonzero(far)
+            if not len(near):
+                continue
+            alike = (marks[near] == marks[x]).mean(axis=1)
+            near = near[np.argsort(-alike, kind="stable")][: int((alike >= least).sum())]
+            for at in range(0, len(near), 16):
+                part = [y for y in near[at : at + 16] if group[y] != group[x]]
+                found = overlaps([body[x]] * len(part), [body[y] for y in part]) >= similarity - 1e-12 if part else ()
+                for y, linked in zip(part, found):
+                    if linked:
+                        yield min(tk[x], tk[y]), max(tk[x], tk[y])
+                        group[group == group[y]] = group[x]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            pairs = list(links(cell))
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        cell: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if cell and cell[0][:3] != row[:3]:
+                    yield flush()
+                    cell = []
+                cell.append(row)
+        if cell:
+            yield flush()
+
+    ordered = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return ordered.mapInArrow(run, "a long, b long")
+
+
 def _held(members: DataFrame, links: DataFrame) -> DataFrame:
     """bucket, tk, component of the buckets that still hold several components."""
     found = connected_components(links, "a", "b")
@@ -233,6 +301,7 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     found = work_table(near_duplicates(docs, key), "classes")
     classes = found.groupBy("class_tk").agg(F.min(key).alias("class_id"), F.count("*").alias("class_size"))
     copies = found.groupBy("tk").agg(F.count("*").alias("n_copies"))
+    classes, copies = work_table(classes, "class-sizes"), work_table(copies, "copies")
     return found.join(classes, "class_tk").join(copies, "tk").select(key, "class_id", "class_size", "n_copies")
 
 
