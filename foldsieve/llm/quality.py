@@ -218,7 +218,8 @@ def _bin(distance: Column) -> Column:
 def _cover(rows: DataFrame, share: float) -> DataFrame:
     """rows with bin -> those up to the share's bin of their group and start, with c from m."""
     counts = rows.groupBy("group", "start", "bin").agg(F.count("*").alias("n"))
-    cut = _quantile(counts, ["group", "start"], share).withColumnRenamed("bin", "cut")
+    # one row per group and start, as a table: its size is known, and Spark chooses how to join a hot group
+    cut = work_table(_quantile(counts, ["group", "start"], share).withColumnRenamed("bin", "cut"), "mcd-cuts")
     keep = rows.join(cut, ["group", "start"]).where("bin <= cut")
     return keep.withColumns({f"c{j}": F.col(f"m{j}") for j in range(len(FEATURES))})
 
@@ -249,7 +250,7 @@ def judged(stats: DataFrame) -> DataFrame:
     """Base statistics with group, distance (scaled, squared; null without an estimate) and kept."""
     grouped = work_table(_grouped(_vector(stats)), "quality")
     good = grouped.where(~F.col("base_failed"))
-    found = estimates(good)
+    found = work_table(estimates(good), "mcd-estimates")
     # half a bin beyond the median's lower edge
     scale = F.exp((F.col("middle_bin") + 0.5) / DISTANCE_BINS) / CHI_MEDIAN
     distance = F.when(F.col("rows") >= FEWEST, _distance() / F.greatest(scale, F.lit(1.0)))
