@@ -37,6 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foldsieve.session import work_table
+
 LEAST_PAGES = 4
 LOW_IMPORTANCE = 0.3
 SHARE = 0.5
@@ -255,7 +257,8 @@ def low_branches(nodes: DataFrame, least_pages: int = LEAST_PAGES, low: float =
 def extract_main_text(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """One row per page: key, url, text, n_chars."""
     rows = pages.select(key, "url", "html", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"))
-    trees = low_branches(style_nodes(rows))
+    # a table with one row per host: Spark can then split the pages of a hot host over many tasks
+    trees = work_table(low_branches(style_nodes(rows)), "style-trees")
     joined = rows.join(trees, "host", "left").select(key, "url", "html", F.col("entries.path").alias("paths"), F.col("entries.value").alias("texts"))
     schema = rows.select(key, "url").schema.add("text", "string").add("n_chars", "long")
 
