@@ -1,10 +1,13 @@
 """Token counts and token-id files for vocabularies read by the tokenizers library.
 
-Both work on safe pieces: the vocabulary's normaliser and splitter treat ASCII
-white space as a hard boundary that yields no token, so a text's ids are those
-of its pieces, one after the other, whatever the length of the text. Pieces are
-encoded in batches of bounded bytes, each distinct piece once per worker, kept
-in a table of bounded size; lengths (or ids) are then put together per text.
+Both put a text's ids together from those of its words. A text of characters on
+which Python and the library agree beyond doubt (PLAIN) and without special
+strings is lower-cased and cut by the pattern in the vocabulary file; every
+distinct word is encoded by the library once per worker process, many words in
+one string, and kept in a table of bounded size. Other texts go to the library
+as they are. Long texts are cut at white space first, a boundary that yields no
+token, so no call sees more than about BATCH_BYTES, and the texts put together
+at once are balanced by bytes, not by rows.
 
 Defined cases: a null text counts as empty and has no tokens; repeated rows are
 all returned; null keys are kept (and come first in file order); an empty table
@@ -15,6 +18,10 @@ as the library does by default, since none holds white space.
 
 from __future__ import annotations
 
+import functools
+import json
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -31,8 +38,10 @@ LIMIT = 2048
 END_ID = 2
 #: Bytes of text handed to the library at once, and of texts put together at once.
 BATCH_BYTES = 1 << 20
-#: Distinct pieces kept per worker, and the longest piece kept.
-KEPT_PIECES, KEPT_BYTES = 200_000, 64
+#: Distinct words kept per worker process, and the longest word kept.
+KEPT_WORDS, KEPT_CHARS = 1_000_000, 48
+#: Printable ASCII, line breaks, and Latin letters: in normal form, and lower-cased one by one alike everywhere.
+PLAIN = r"\t\n\r\x20-\x7e\xa1-\u024f"
 
 
 def vocabulary_path(name: str) -> str:
@@ -41,8 +50,16 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class PieceEncoder:
-    """Ids of safe pieces as little-endian 32-bit bytes, or only their count."""
+def plain_pattern(pattern: str) -> str:
+    """The pattern with classes of letters and numbers spelled out for the characters of PLAIN."""
+    for kind in "LN":
+        members = "".join(re.escape(c) for c in map(chr, range(0x250)) if unicodedata.category(c)[0] == kind)
+        pattern = pattern.replace(rf"\p{{{kind}}}", members)
+    return pattern
+
+
+class TextEncoder:
+    """Ids of texts as little-endian 32-bit bytes, or only their count."""
 
     def __init__(self, path: str, lengths_only: bool):
         import os
@@ -54,42 +71,82 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.lengths_only = lengths_only
-        self.kept: dict[bytes, int | bytes] = {}
-
-    def _encode(self, pieces: list[bytes]) -> Iterator[int | bytes]:
-        """One batch of bounded bytes after the other."""
+        self.kept: dict[str, int | bytes] = {}
+        self.other = re.compile(f"[^{PLAIN}]").search
+        with open(path, encoding="utf-8") as file:
+            rules = json.load(file)
+        self.special = [t["content"] for t in rules["added_tokens"]]
+        self.words = None
+        steps = [s.get("type") for s in (rules.get("normalizer") or {}).get("normalizers", [])]
+        splits = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if steps == ["NFC", "Replace", "Lowercase"] and splits and splits[0].get("invert") and rules["model"].get("end_of_word_suffix"):
+            self.words = re.compile(plain_pattern(splits[0]["pattern"]["Regex"])).findall
+            vocabulary = self.tokenizer.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for t, i in vocabulary.items() if t.endswith(rules["model"]["end_of_word_suffix"])]] = True
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Keep the results of new words; in one string, each ends with a piece that ends a word."""
         at = 0
-        while at < len(pieces):
+        while at < len(new):
             end, size = at, 0
-            while end < len(pieces) and (end == at or size + len(pieces[end]) <= BATCH_BYTES):
-                size += len(pieces[end])
+            while end < len(new) and (end == at or size < BATCH_BYTES // 16):
+                size += len(new[end]) + 1
                 end += 1
-            found = self.tokenizer.encode_batch([p.decode() for p in pieces[at:end]], add_special_tokens=False)
-            for e in found:
-                yield len(e) if self.lengths_only else np.asarray(e.ids, dtype="<u4").tobytes()
+            run = new[at:end]
             at = end
-
-    def __call__(self, pieces: list[bytes]) -> list:
-        """The result of each piece, in order."""
-        if len(self.kept) > KEPT_PIECES:
+            ids = self._library([" ".join(run)])[0]
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(run):
+                found = self._library(run)
+                self.kept.update(zip(run, [len(f) for f in found] if self.lengths_only else [f.tobytes() for f in found]))
+            elif self.lengths_only:
+                self.kept.update(zip(run, np.diff(ends, prepend=0).tolist()))
+            else:
+                data, cuts = ids.tobytes(), (ends * 4).tolist()
+                self.kept.update(zip(run, map(data.__getitem__, map(slice, [0, *cuts[:-1]], cuts))))
+
+    def __call__(self, texts: list[str]) -> list[int] | list[bytes]:
+        """The result of each text, in order. The texts together are of bounded size but for single long ones."""
+        if len(self.kept) > KEPT_WORDS:
             self.kept.clear()
-        new = [p for p in dict.fromkeys(pieces) if p not in self.kept]
-        if new:
-            self.kept.update(zip(new, self._encode(new)))
-        out = [self.kept[p] for p in pieces]
-        for p in new:
-            if len(p) > KEPT_BYTES:
-                del self.kept[p]
+        kept, split = self.kept, []
+        for text in texts:
+            parts = []
+            for part in segments(text):
+                simple = self.words and not self.other(part) and not any(x in part for x in self.special)
+                parts.append(self.words(part.lower()) if simple else part)
+            split.append(parts)
+        new = set().union(*[p for parts in split for p in parts if isinstance(p, list)]).difference(kept)
+        self._learn(list(new))
+        out: list = []
+        for parts in split:
+            if self.lengths_only:
+                out.append(sum(sum(map(kept.__getitem__, p)) if isinstance(p, list) else len(self._library([p])[0]) for p in parts))
+            else:
+                out.append(b"".join([b"".join(map(kept.__getitem__, p)) if isinstance(p, list) else self._library([p])[0].tobytes() for p in parts]))
+        for word in new:
+            if len(word) > KEPT_CHARS:
+                del kept[word]
         return out
 
 
-def segments(text: bytes, most: int = BATCH_BYTES) -> Iterator[bytes]:
-    """A long text cut at white space into parts of about most bytes; a part without white space stays whole."""
+@functools.lru_cache(maxsize=4)
+def text_encoder(path: str, lengths_only: bool) -> TextEncoder:
+    """One per worker process, which serves many tasks."""
+    return TextEncoder(path, lengths_only)
+
+
+def segments(text: str, most: int = BATCH_BYTES) -> Iterator[str]:
+    """A long text cut at white space into parts of about most characters; a part without white space stays whole."""
     at = 0
     while len(text) - at > most:
-        cut = max(text.rfind(b" ", at, at + most), text.rfind(b"\n", at, at + most))
+        cut = max(text.rfind(" ", at, at + most), text.rfind("\n", at, at + most))
         if cut <= at:
-            nexts = [x for x in (text.find(b" ", at + most), text.find(b"\n", at + most)) if x >= 0]
+            nexts = [x for x in (text.find(" ", at + most), text.find("\n", at + most)) if x >= 0]
             if not nexts:
                 break
             cut = min(nexts)
@@ -98,45 +155,33 @@ def segments(text: bytes, most: int = BATCH_BYTES) -> Iterator[bytes]:
     yield text[at:] if at else text
 
 
+def balanced(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of about BATCH_BYTES, with the place of the first."""
+    first, run, held = 0, [], 0
+    for i, text in enumerate(texts):
+        text = text.as_py() or ""
+        run.append(text)
+        held += len(text)
+        if held >= BATCH_BYTES:
+            yield first, run
+            first, run, held = i + 1, [], 0
+    if run:
+        yield first, run
+
+
 def token_counts(docs: DataFrame, path: str | None = None, key: str = "doc_id", limit: int = LIMIT) -> DataFrame:
     """One row per document: key, n_bytes, n_tokens, over_limit."""
     path = path or vocabulary_path(VOCABULARY)
     schema = docs.select(key).schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = PieceEncoder(path, lengths_only=True)
+        encode = text_encoder(path, True)
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
-            sizes, totals = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-            pending: list[bytes] = []
-            owners: list[tuple[int, int]] = []
-            held = 0
-
-            def flush() -> None:
-                lengths = np.asarray(encode(pending), dtype=np.int64)
-                at = 0
-                for row, n in owners:
-                    totals[row] += int(lengths[at : at + n].sum())
-                    at += n
-                pending.clear()
-                owners.clear()
-
-            for row, text in enumerate(texts.cast(pa.binary())):
-                text = text.as_py() or b""
-                sizes[row] = len(text)
-                for part in segments(text):
-                    pieces = part.split()
-                    pending += pieces
-                    owners.append((row, len(pieces)))
-                    held += len(part)
-                    if held >= BATCH_BYTES:
-                        flush()
-                        held = 0
-            if owners:
-                flush()
-            yield pa.RecordBatch.from_arrays(
-                [keys, pa.array(sizes), pa.array(totals), pa.array(totals > limit)], names=[key, "n_bytes", "n_tokens", "over_limit"]
-            )
+            for first, texts in balanced(batch.column(1)):
+                totals = np.asarray(encode(texts), dtype=np.int64)
+                sizes = pa.array([len(t.encode()) for t in texts], pa.int64())
+                keys = batch.column(0).slice(first, len(texts))
+                yield pa.RecordBatch.from_arrays([keys, sizes, pa.array(totals), pa.array(totals > limit)], names=schema.names)
 
     return docs.select(key, "text").mapInArrow(count, schema)
 
@@ -166,35 +211,26 @@ def write_token_files(
     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece_ids = PieceEncoder(path, lengths_only=False)
-        end = b"" if end_id is None else np.asarray([end_id], dtype="<u4").tobytes()
         from pyspark import TaskContext
 
+        ids_of = text_encoder(path, False)
+        end = b"" if end_id is None else np.asarray([end_id], dtype="<u4").tobytes()
         part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
-            at, n = 0, batch.num_rows
-            texts = batch.column(1).cast(pa.binary())
-            while at < n:
-                rows, held = [], 0
-                while at + len(rows) < n and held < BATCH_BYTES:
-                    text = texts[at + len(rows)].as_py() or b""
-                    held += len(text)
-                    rows.append(b"".join([x for s in segments(text) for x in piece_ids(s.split())]) + end)
+            for first, texts in balanced(batch.column(1)):
+                rows = [x + end for x in ids_of(texts)]
                 lengths = np.asarray([len(r) // 4 for r in rows], dtype=np.int64)
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(rows), dtype="<i4"))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(at, len(rows)),
-                        pa.array(np.full(len(rows), part, np.int32)),
-                        pa.array(np.arange(seq, seq + len(rows), dtype=np.int64)),
-                        pa.array(lengths),
-                        pa.ListArray.from_arrays(pa.array(offsets), values),
-                    ],
-                    names=[key, "part", "seq", "n_tokens", "ids"],
-                )
+                columns = [
+                    batch.column(0).slice(first, len(rows)),
+                    pa.array(np.full(len(rows), part, np.int32)),
+                    pa.array(np.arange(seq, seq + len(rows), dtype=np.int64)),
+                    pa.array(lengths),
+                    pa.ListArray.from_arrays(pa.array(offsets), values),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
                 seq += len(rows)
-                at += len(rows)
 
     rows = docs.select(key, "text")
     ranged = rows.repartitionByRange(partitions, key) if partitions else rows.repartitionByRange(key)
@@ -253,13 +289,5 @@ def token_file_digests(docs: DataFrame, path: str | None = None, key: str = "doc
             )
 
     digests = files.select(key, "part", "seq", "n_tokens", "ids").mapInArrow(digest, schema)
-    sums = files.groupBy("part").agg(F.sum("n_tokens").alias("part_tokens"))
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select("part", F.coalesce(F.sum("part_tokens").over(earlier), F.lit(0)).cast("long").alias("base"))
-    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    local = F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))
-    return (
-        digests.withColumn("local", local)
-        .join(bases, "part")
-        .select(key, (F.col("base") + F.col("local")).cast("long").alias("start"), "n_tokens", "ids_crc32")
-    )
+    starts = token_starts(files.select("part", "seq", "n_tokens")).drop("n_tokens")
+    return digests.join(starts, ["part", "seq"]).select(key, "start", "n_tokens", "ids_crc32")
