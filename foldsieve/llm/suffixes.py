@@ -19,8 +19,8 @@ input.
    that puts equal windows side by side will do, and integers merge fast). The
    batch's array is merge-scanned against the levels; levels of like size merge,
    so a window is merged about log2(batches) times.
-   Grams with more than HOT contexts (a passage that a large share of documents
-   holds) go past the family: their windows are counted by fingerprint, with
+   Grams with more than HOT contexts (a passage that very many documents hold)
+   go past the family: their windows are counted by fingerprint, with
    partial sums, so that no task gathers them.
 4. All windows of an anchor hold its gram, so what its repeated windows cover is
    one interval, from the first to the last of them. Intervals go back to their
@@ -48,13 +48,14 @@ from pyspark.sql import types as T
 
 from foldsieve.llm.bagminhash import text_key
 from foldsieve.llm.shingles import U, mix
-from foldsieve.session import drop_table, work_table
+from foldsieve.session import drop_table, release, work_table
 
 LENGTH, GRAM = 200, 48
 #: Grams in a window; offsets of an anchor in its windows are 0 to SPAN - 1.
 SPAN = LENGTH - GRAM + 1
 CONTEXT = LENGTH + SPAN - 1
-HOT = 4096
+#: Contexts of one gram that a task holds: their windows take 16 bytes each, some 80 MB, and twice that while levels merge.
+HOT = 32768
 SEGMENT = 1 << 18
 FAMILY_BATCH = 2048
 
@@ -275,7 +276,7 @@ def _by_family(rows: DataFrame) -> DataFrame:
             columns = [rid[found], pos[found], most.astype(np.int32), least.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rid", "pos", "most", "least"])
 
-    return rows.repartition("gram").mapInArrow(run, INTERVAL)
+    return rows.repartition("gram").dropDuplicates(["gram", "rid", "pos"]).mapInArrow(run, INTERVAL)
 
 
 def _by_counts(rows: DataFrame) -> DataFrame:
@@ -290,7 +291,7 @@ def _by_counts(rows: DataFrame) -> DataFrame:
                 columns = [keys.view(np.int64)[row, offset], rid[row], pos[row], offset.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "rid", "pos", "offset"])
 
-    spread = work_table(rows.mapInArrow(run, "key long, rid long, pos int, offset int"), "hot-windows")
+    spread = work_table(rows.dropDuplicates(["gram", "rid", "pos"]).mapInArrow(run, "key long, rid long, pos int, offset int"), "hot-windows")
     twice = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     met = spread.join(twice, "key")
     return met.groupBy("rid", "pos").agg(F.max("offset").alias("most"), F.min("offset").alias("least"))
@@ -301,23 +302,39 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
     table = work_table(_anchor_table(docs), "anchors")
     counts = table.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("z"))
     shared = counts.where("n > 1").select("gram", (F.col("a") != F.col("z")).alias("mixed"))
+    # a table, so that Spark can split the rows of a hot gram over many tasks
+    shared = work_table(shared, "shared-grams")
+    release(docs.sparkSession)
     meeting = work_table(table.join(shared, "gram"), "meeting")
+    drop_table(shared)
     drop_table(table)
+    release(docs.sparkSession)
     whole = F.lit(SPAN - 1).alias("most"), F.lit(0).alias("least")
-    alike = meeting.where("not mixed").select("rid", "pos", *whole)
     mixed = meeting.where("mixed")
     classes = mixed.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos")).alias("at"))
     classes = work_table(classes, "contexts")
-    alike = alike.unionByName(mixed.join(classes.where("n > 1").select("gram", "context"), ["gram", "context"]).select("rid", "pos", *whole))
+    twice = mixed.join(classes.where("n > 1").select("gram", "context"), ["gram", "context"], "left_semi")
+    alike = meeting.where("not mixed").select("rid", "pos").unionByName(twice.select("rid", "pos"))
+    # by text at once: what follows needs no more of the anchors
+    alike = work_table(alike.groupBy("rid").agg(F.collect_set(F.struct("pos", *whole)).alias("intervals")), "covered")
     open_grams = classes.groupBy("gram").agg(F.min("n").alias("least"), F.count("*").alias("kinds")).where("least = 1")
     wanted = work_table(classes.join(open_grams, "gram").select("gram", "at.rid", "at.pos", (F.col("kinds") > HOT).alias("hot")), "open")
-    hot_grams = wanted.where("hot").select("gram").distinct()
+    for done in (meeting, classes):
+        drop_table(done)
+    release(docs.sparkSession)
     texts = docs.select(text_key(F.col("text")).alias("rid"), "text").where(F.octet_length("text") >= LENGTH)
-    rows = work_table(_context_rows(texts, wanted), "context-bytes").dropDuplicates(["rid", "pos"])
+    rows = work_table(_context_rows(texts, wanted), "context-bytes")
+    release(docs.sparkSession)
+    # copies of one text give the same rows
+    hot_grams = wanted.where("hot").select("gram").distinct()
     usual, hot = rows.join(hot_grams, "gram", "left_anti"), rows.join(hot_grams, "gram", "left_semi")
-    open_found = _by_family(usual).unionByName(_by_counts(hot))
-    found = alike.unionByName(open_found)
-    return work_table(found.groupBy("rid").agg(F.collect_set(F.struct("pos", "most", "least")).alias("intervals")), "intervals")
+    found = _by_family(usual).unionByName(_by_counts(hot))
+    parts = found.groupBy("rid").agg(F.collect_set(F.struct("pos", "most", "least")).alias("intervals"))
+    both = work_table(alike.unionByName(parts).groupBy("rid").agg(F.flatten(F.collect_list("intervals")).alias("intervals")), "intervals")
+    for done in (alike, wanted, rows):
+        drop_table(done)
+    release(docs.sparkSession)
+    return both
 
 
 def removed_runs(size: int, pos: np.ndarray, most: np.ndarray, least: np.ndarray) -> list[tuple[int, int]]:
@@ -356,10 +373,10 @@ def whole_characters(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int
 
 def _with_runs(docs: DataFrame, columns: list[str]) -> DataFrame:
     """columns of docs, text first, with the arrays pos, most, least of the text's intervals."""
-    found = repeated_intervals(docs)
+    found = repeated_intervals(docs).select(F.col("rid").alias("__found"), F.col("intervals").alias("__intervals"))
     rows = docs.withColumn("__rid", text_key(F.col("text")))
-    joined = rows.join(found, rows["__rid"] == found["rid"], "left")
-    parts = [F.col(f"intervals.{c}").alias(f"__{c}") for c in ("pos", "most", "least")]
+    joined = rows.join(found, F.col("__rid") == F.col("__found"), "left")
+    parts = [F.col(f"__intervals.{c}").alias(f"__{c}") for c in ("pos", "most", "least")]
     return joined.select("text", *parts, *columns)
 
 

@@ -333,13 +333,13 @@ def brute_removal(texts, length=200):
         yield key, len(t), sum(covered), runs, hashlib.sha256(kept).hexdigest()
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
+@pytest.mark.parametrize("hot", [32768, 2])
 def test_suffix_removal(docs, texts, empty, hot, monkeypatch):
     monkeypatch.setattr(suffixes, "HOT", hot)
     short = [(k, t.encode()) for k, t in texts if len(t) < 50000]
     frame = docs.where("text is null or length(text) < 50000")
     assert Counter(map(tuple, suffixes.removal_digests(frame).collect())) == Counter(brute_removal(short))
-    if hot == 4096:
+    if hot == 32768:
         assert suffixes.removal_digests(docs).count() == len(texts)
         assert suffixes.removal_digests(empty).count() == 0
 
