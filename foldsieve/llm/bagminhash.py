@@ -197,7 +197,9 @@ def near_duplicates(
     # one row of documents per text that is in a bucket with others
     wanted = members.select(F.col("b").alias("tk")).distinct()
     first = signed.groupBy("tk").agg(F.min(key).alias(key)).join(wanted, "tk")
-    rows_of = docs.select(key, "text").withColumn("tk", text_key(F.col("text"))).join(first, ["tk", key], "left_semi")
+    rows_of = docs.select(key, "text").withColumn("tk", text_key(F.col("text")))
+    # a text whose every row has a null key is taken by that null
+    rows_of = rows_of.join(first, (rows_of["tk"] == first["tk"]) & rows_of[key].eqNullSafe(first[key]), "left_semi")
     texts = work_table(rows_of.select("tk", "text"), "texts").dropDuplicates(["tk"])
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:

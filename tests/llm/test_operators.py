@@ -319,6 +319,17 @@ def test_family_of_near_copies(spark, prose):
     assert partition((r.doc_id, r.class_tk) for r in found) == partition((k, c) for (k, _), c in zip(texts, brute_classes(texts)))
 
 
+@pytest.mark.parametrize("small", [16, 1])
+def test_near_copies_without_keys(spark, prose, small, monkeypatch):
+    monkeypatch.setattr(bagminhash, "SMALL", small)
+    one, two = prose(70, 200), prose(71, 200)
+    texts = [(None, f"{one} {x}") for x in ("a", "b", "b", "c")] + [(None, f"{two} a"), (7, f"{two} b"), (None, prose(72, 200))]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = bagminhash.near_duplicate_classes(frame).collect()
+    assert Counter((r.class_id, r.class_size, r.n_copies) for r in rows) == {(None, 4, 1): 2, (None, 4, 2): 2, (7, 2, 1): 2, (None, 1, 1): 1}
+    assert bagminhash.keep_one(frame).count() == 3
+
+
 def brute_removal(texts, length=200):
     counts = Counter()
     for _, t in texts:
