@@ -40,8 +40,10 @@ END_ID = 2
 BATCH_BYTES = 1 << 20
 #: Distinct words kept per worker process, and the longest word kept.
 KEPT_WORDS, KEPT_CHARS = 1_000_000, 48
-#: Printable ASCII, line breaks, and Latin letters: in normal form, and lower-cased one by one alike everywhere.
-PLAIN = r"\t\n\r\x20-\x7e\xa1-\u024f"
+#: Characters up to U+024F whose lower case lies beyond it.
+BEYOND = "".join(c for c in map(chr, range(0xA1, 0x250)) if max(c.lower()) > "\u024f")
+#: Printable ASCII, line breaks, and Latin letters but those BEYOND: in normal form, and lower-cased one by one alike everywhere.
+PLAIN = r"\t\n\r\x20-\x7e" + "".join(c for c in map(chr, range(0xA1, 0x250)) if c not in BEYOND)
 
 
 def vocabulary_path(name: str) -> str:

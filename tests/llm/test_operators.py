@@ -162,6 +162,15 @@ def test_token_counts(docs, texts, empty):
     assert tokens.token_counts(empty).count() == 0
 
 
+def test_every_plain_character_is_encoded_as_by_the_library():
+    path = tokens.vocabulary_path(tokens.VOCABULARY)
+    encoder, counter = tokens.TextEncoder(path, False), tokens.TextEncoder(path, True)
+    texts = [t for c in map(chr, [9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x250)]) for t in (f"a{c}b", f"{c}li {c}", f"SA{c}", f"1{c}{c.lower()}2")]
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder(texts)] == want
+    assert counter(texts) == [len(x) for x in want]
+
+
 def test_segments_cover_long_texts(prose):
     text = prose(8, 3000) + "\n" + "y" * 9000 + " end"
     parts = list(tokens.segments(text, 1000))
