@@ -15,8 +15,8 @@ there, and the tree decides about pages that mark none.
 
 The tree is aggregated in Spark by (host, path, content) with partial sums, so a
 host with a third of all pages is as many small groups as it has texts. Only
-low-importance entries go back to the pages: a host has at most 1 / SHARE
-common texts per path.
+low-importance entries go back to the pages: a host has at most 1 / SHARE times
+the texts of a page as common texts per path.
 
 Defined cases: null or empty html gives an empty text; a null url is a host of
 its own kind, and pages of hosts seen on fewer than LEAST_PAGES pages have no
@@ -206,7 +206,7 @@ def host_of(url):
 
 
 def style_nodes(pages: DataFrame) -> DataFrame:
-    """host, path, kind, value: of each page, every path's child sequence (kind 0) and distinct texts (kind 1)."""
+    """host, path, kind, value: of each page, every path's child sequence (kind 0), distinct texts (kind 1), and that it has any (kind 2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,6 +215,7 @@ def style_nodes(pages: DataFrame) -> DataFrame:
                 page = Page(source.as_py() or "")
                 nodes = {(_key(path), 0, _key(" ".join(children))) for path, children in page.styles.items()}
                 nodes |= {(path, 1, _key(text)) for path, _, text in page.blocks}
+                nodes |= {(path, 2, 0) for path, _, _ in page.blocks}
                 for path, kind, value in nodes:
                     paths.append(path)
                     kinds.append(kind)
@@ -229,7 +230,10 @@ def style_nodes(pages: DataFrame) -> DataFrame:
 
 
 def low_branches(nodes: DataFrame, least_pages: int = LEAST_PAGES, low: float = LOW_IMPORTANCE, share: float = SHARE) -> DataFrame:
-    """host, low (paths), common (path and text keys): the site style trees' unimportant entries."""
+    """host, low (paths), common (path and text keys): the site style trees' unimportant entries.
+
+    Nodes without kind 2 count as one text per page and path.
+    """
     counts = nodes.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n"))
     n = F.col("n").cast("double")
     sums = counts.groupBy("host", "path", "kind").agg(
@@ -241,14 +245,13 @@ def low_branches(nodes: DataFrame, least_pages: int = LEAST_PAGES, low: float =
     weight = F.pow(F.lit(DECAY), F.coalesce(styles, F.lit(1)))
     shape = F.coalesce(F.max(F.when(F.col("kind") == 0, entropy)), F.lit(0.0))
     words = F.max(F.when(F.col("kind") == 1, entropy))
-    trees = sums.groupBy("host", "path").agg(
-        ((1 - weight) * shape + weight * words).alias("importance"), F.max(F.when(F.col("kind") == 1, F.col("total"))).alias("texts")
-    )
-    lows = trees.where((F.col("importance") < low) & (F.col("texts") >= least_pages)).select(
+    having = [F.max(F.when(F.col("kind") == kind, F.col("total"))) for kind in (2, 1)]
+    trees = sums.groupBy("host", "path").agg(((1 - weight) * shape + weight * words).alias("importance"), F.coalesce(*having).alias("pages"))
+    lows = trees.where((F.col("importance") < low) & (F.col("pages") >= least_pages)).select(
         "host", F.struct("path", F.lit(None).cast("long").alias("value")).alias("entry")
     )
-    texts = counts.where("kind = 1").join(sums.where("kind = 1").select("host", "path", "total"), ["host", "path"])
-    common = texts.where((F.col("total") >= least_pages) & (F.col("n") > share * F.col("total"))).select(
+    texts = counts.where("kind = 1").join(trees.select("host", "path", "pages"), ["host", "path"])
+    common = texts.where((F.col("pages") >= least_pages) & (F.col("n") > share * F.col("pages"))).select(
         "host", F.struct("path", "value").alias("entry")
     )
     return lows.unionByName(common).groupBy("host").agg(F.collect_list("entry").alias("entries"))

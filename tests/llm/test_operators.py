@@ -399,6 +399,15 @@ def test_html(spark):
     assert html.Page("<nav>x<article><p>y").main_text() == "y"
 
 
+@pytest.mark.parametrize("own", [1, 5])
+def test_notice_that_shares_its_path_with_text(spark, own):
+    want = ["\n".join(f"own text {i} {j}" for j in range(own)) for i in range(8)]
+    bodies = ["".join(f"<p>{t}" for t in ["shared notice of the site", *w.split("\n")]) for w in want]
+    rows = [(i, f"http://c.example/{i}", f"<body><div>{b}</div></body>") for i, b in enumerate(bodies)]
+    found = html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r.text for r in sorted(found, key=lambda r: r.page_id)] == want
+
+
 def test_style_tree_importance(spark):
     nodes = [("h", 1, 1, 7)] * 6 + [("h", 2, 1, i) for i in range(6)] + [("h", 3, 1, 9)] * 4 + [("h", 3, 1, i) for i in range(2)]
     frame = spark.createDataFrame(nodes, "host string, path long, kind int, value long")
