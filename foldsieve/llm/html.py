@@ -10,8 +10,10 @@ host hold at the same path, are removed.
 
 What a page's markup says itself comes first: scripts, styles, forms, menus,
 headers, footers, sidebars, notices, adverts and comments go by tag, role or
-class; where a page marks its article (article, main) the text is taken from
-there, and the tree decides about pages that mark none.
+class. The tree prunes what is left, inside article and main too. Of the rest,
+the article's blocks are taken if they hold half of the text or more, else
+those of article and main, else all. Where the tree leaves nothing of an article
+that held half of the page (a page seen many times), the article stays whole.
 
 The tree is aggregated in Spark by (host, path, content) with partial sums, so a
 host with a third of all pages is as many small groups as it has texts. Only
@@ -186,13 +188,20 @@ class Page:
             self.stack.append((tag, path, skipped, rank))
 
     def main_text(self, low: frozenset[int] = frozenset(), common: frozenset[tuple[int, int]] = frozenset()) -> str:
-        """The blocks of the article, else of main, else of the page without low paths and common texts."""
-        best = max((rank for _, rank, _ in self.blocks), default=0)
-        if best:
-            kept = [text for _, rank, text in self.blocks if rank == best]
-        else:
-            kept = [t for path, _, t in self.blocks if path not in low and (path, _key(t)) not in common]
-        return "\n".join(kept)
+        """The blocks without low paths and common texts: of the article or of main where these hold most, else of the page."""
+        pruned = [b for b in self.blocks if b[0] not in low and (b[0], _key(b[2])) not in common]
+
+        def marked(blocks: list[tuple[int, int, str]], least: int) -> list[str]:
+            """The blocks of the rank or above, if they hold half of the text or more."""
+            found = [text for _, rank, text in blocks if rank >= least]
+            return found if 2 * sum(map(len, found)) >= sum(len(text) for *_, text in blocks) else []
+
+        for least in (2, 1):
+            left = any(rank >= least for _, rank, _ in pruned)
+            kept = marked(pruned if left else self.blocks, least)
+            if kept:
+                return "\n".join(kept)
+        return "\n".join(text for *_, text in pruned)
 
 
 NODE = T.StructType(

@@ -408,6 +408,22 @@ def test_notice_that_shares_its_path_with_text(spark, own):
     assert [r.text for r in sorted(found, key=lambda r: r.page_id)] == want
 
 
+def test_style_tree_prunes_marked_articles(spark):
+    def long(i):
+        return f"own text {i} " * 9
+
+    teaser = "<body><div><p>{0}</div><article><p>teaser {1}</p></article>"
+    pages = {i: (f"http://d.example/{i}", f"<body><article><p>read more<p>{long(i)}</article>", long(i).strip()) for i in range(8)}
+    pages |= {8 + i: (f"http://e.example/{i}", teaser.format(long(i), i), f"{long(i).strip()}\nteaser {i}") for i in range(8)}
+    pages |= {16 + i: (f"http://f.example/{i}", teaser.format(long(i), "x"), long(i).strip()) for i in range(8)}
+    pages |= {24 + i: (f"http://g.example/{i}", f"<body><article><p>{long(0)}</article>", long(0).strip()) for i in range(8)}
+    rows = [(k, url, page) for k, (url, page, _) in pages.items()]
+    found = html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in found} == {k: want for k, (*_, want) in pages.items()}
+    main = html.Page(f"<body><p>around<main><p>{long(1)}<article><p>card</article></main>")
+    assert main.main_text() == f"{long(1).strip()}\ncard"
+
+
 def test_style_tree_importance(spark):
     nodes = [("h", 1, 1, 7)] * 6 + [("h", 2, 1, i) for i in range(6)] + [("h", 3, 1, 9)] * 4 + [("h", 3, 1, i) for i in range(2)]
     frame = spark.createDataFrame(nodes, "host string, path long, kind int, value long")
