@@ -123,12 +123,101 @@ def test_repeat_words_with_many_doubled_windows(spark, prose):
     assert quality.base_statistics(frame).first().n_repeat_words == base(text)[4] > 1300
 
 
+def brute_estimates(rows):
+    """The estimates in numpy: rows of (lang, source, four features) -> node -> (mean, covariance with floors, scale)."""
+    groups = defaultdict(list)
+    for lang, source, *x in rows:
+        for node in ((), (lang,), (lang, source)):
+            groups[node].append(x)
+    groups = {node: np.array(x) for node, x in sorted(groups.items(), key=lambda g: len(g[0]))}
+    floors = np.array(quality.FLOORS)
+
+    def inside(bins, share):
+        order = np.sort(bins)
+        return bins <= order[np.ceil(share * len(order)).astype(int) - 1]
+
+    def bins(distance):
+        return np.floor(np.log(distance + 1e-9) * quality.DISTANCE_BINS)
+
+    def shrunk(own):
+        out = {}
+        for node, value in own.items():
+            n = len(groups[node])
+            out[node] = value if not node else tuple((n * v + quality.PRIOR * u) / (n + quality.PRIOR) for v, u in zip(value, out[node[:-1]]))
+        return out
+
+    def distance(x, mean, cov):
+        return np.einsum("ij,ij->i", (x - mean) @ np.linalg.inv(cov + np.diag(floors**2)), x - mean)
+
+    def median(x):
+        cell = np.floor(x * quality.VALUE_BINS)
+        return (cell[inside(cell, 0.5)].max() + 0.5) / quality.VALUE_BINS
+
+    now = {0: {}, 1: {}}
+    for node, x in groups.items():
+        middle = np.array([median(c) for c in x.T])
+        scaled = np.abs(x - middle) / np.maximum(1.4826 * np.array([median(np.abs(c - m)) for c, m in zip(x.T, middle)]), floors)
+        now[0][node], now[1][node] = (scaled**2).sum(1), scaled.max(1) ** 2
+    for _ in range(quality.STEPS):
+        params = {}
+        for start, distances in now.items():
+            own = {}
+            for node, x in groups.items():
+                x = x[inside(bins(distances[node]), quality.COVERED)]
+                own[node] = x.mean(0), np.cov(x.T, bias=True)
+            params[start] = shrunk(own)
+            now[start] = {node: distance(x, *params[start][node]) for node, x in groups.items()}
+    found, scales = {}, {}
+    for node, x in groups.items():
+        dets = [np.linalg.slogdet(params[s][node][1] + np.diag(floors**2))[1] for s in (0, 1)]
+        found[node] = params[int(dets[1] < dets[0] - 1e-9)][node]
+        cell = bins(distance(x, *found[node]))
+        scales[node] = ((cell[inside(cell, 0.5)].max() + 0.5) / quality.DISTANCE_BINS - np.log(quality.CHI_MEDIAN),)
+    scales = shrunk(scales)
+    return {node: lambda x, node=node: distance(x, *found[node]) / np.exp(max(scales[node][0], 0)) for node in groups}
+
+
+def test_kept_equals_brute_force(spark, prose, docs):
+    rng = np.random.default_rng(8)
+    rows = [(r.lang, r.source, r.text) for r in docs.where("text is not null").collect()]
+    for i in range(400):  # a large, a middling and many tiny groups; other word lengths, repeats and symbols among them
+        text = prose(1000 + i, 60 + i % 80, 40 + i)
+        text = text.replace("w", "longer") if i % 23 == 0 else text + " #" * 20 if i % 29 == 0 else text + f"\n{text[:100]}\n{text[:100]}" if i % 7 == 0 else text
+        rows.append((["en", "de", None][rng.integers(3) * (i % 3 == 0)], f"s{rng.integers(2) if i % 5 else i}", text))
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, source string, text string")
+    found = quality.judged(quality.base_statistics(frame)).collect()
+    assert len(found) == len(rows)
+    good = [r for r in found if not r.base_failed]
+    judge = brute_estimates([(r.lang, r.source, *(r[x] for x in quality.FEATURES)) for r in good])
+    rejected = 0
+    for r in good:
+        want = judge[r.lang, r.source](np.array([[r[x] for x in quality.FEATURES]]))[0]
+        assert r.distance == pytest.approx(want, rel=1e-6, abs=1e-9)
+        assert r.kept == (want <= quality.CUT)
+        rejected += not r.kept
+    assert 10 < rejected < 100
+
+
+@pytest.mark.parametrize("n", [30, 250])
+def test_outliers_in_one_feature_alone(spark, prose, n):
+    """At any size of a group: only repeated lines, only repeated windows, only symbols, only word lengths."""
+    texts = [prose(2000 + i, 120) for i in range(n)]
+    lines = [prose(9000 + j, 8) for j in range(12)]
+    repeated = "\n".join([lines[0]] * 5 + lines[1:])
+    windows = prose(9100, 60) + " " + " ".join([f"{prose(9200 + j, 5)} one two three" for j in range(12)])
+    odd = [repeated, windows.replace("one two three", "one two three four"), prose(9300, 120).replace(" ", " # "), prose(9400, 120).replace("w", "muchlonger")]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)] + [(-1 - i, t, "en", "s") for i, t in enumerate(odd)]
+    found = {r.doc_id: r for r in quality.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(found[-1 - i].base_failed or found[-1 - i].kept for i in range(4))
+    assert sum(found[i].kept for i in range(n)) >= 0.98 * n
+
+
 def test_scatter_is_the_covered_covariance(spark):
     rng = np.random.default_rng(3)
     x = rng.normal([1.6, 0.3, 0.2, 0.1], [0.2, 0.1, 0.3, 0.2], (400, 4))
     x[:40] += [3, 2, 1, 1]
-    frame = spark.createDataFrame([("g", *map(float, r)) for r in x], ["group", *quality.FEATURES])
-    found = quality.estimates(frame).first()
+    frame = spark.createDataFrame([("en", "s", *map(float, r)) for r in x], ["lang", "source", *quality.FEATURES])
+    found = quality.estimates(frame).where("level = 2").first()
     mean = np.array([found[f"m{j}"] for j in range(4)])
     low = np.zeros((4, 4))
     for j in range(4):
