@@ -18,15 +18,24 @@ input.
    with the gram's hash (only equality of whole windows is asked, so any order
    that puts equal windows side by side will do, and integers merge fast). The
    batch's array is merge-scanned against the levels; levels of like size merge,
-   so a window is merged about log2(batches) times.
-   Grams with more than HOT contexts (a passage that very many documents hold)
-   go past the family: their windows are counted by fingerprint, with
-   partial sums, so that no task gathers them.
-4. All windows of an anchor hold its gram, so what its repeated windows cover is
+   so a window is merged about log2(batches) times. A family ends at a gram's
+   border once it holds FAMILY_ROWS contexts, so memory is bounded.
+4. A gram's contexts are dealt into blocks of about BLOCK, each in a family of
+   its own; a gram with few contexts is one block and is done. Where there are
+   more blocks, each gives out its distinct windows once (copies inside it are
+   marked already), dealt by salts of the window's key, and the blocks' arrays of
+   one gram and salt are merged in a second round of families. So no task holds
+   more than a block's worth of windows, however hot a gram is, and a window that
+   every context holds travels once per block.
+5. All windows of an anchor hold its gram, so what its repeated windows cover is
    one interval, from the first to the last of them. Intervals go back to their
    texts, which are cut.
 
-Texts are known by 64 bits of their SHA-256; equal texts share their intervals.
+Contexts that are the same in every byte are one entry of the index with a
+count: the grouped sums of step 2 are its pre-aggregation, and an entry counted
+twice is a match by itself, covered whole.
+
+Texts are known by 128 bits of their SHA-256; equal texts share their intervals.
 
 Defined cases: a null text counts as empty; texts under LENGTH bytes hold no
 window and stay whole; repeated rows with LENGTH bytes or more lose every byte;
@@ -46,7 +55,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldsieve.llm.bagminhash import text_key
+from foldsieve.llm.common import digest_words, text_words
 from foldsieve.llm.shingles import U, mix
 from foldsieve.session import drop_table, release, work_table
 
@@ -54,10 +63,11 @@ LENGTH, GRAM = 200, 48
 #: Grams in a window; offsets of an anchor in its windows are 0 to SPAN - 1.
 SPAN = LENGTH - GRAM + 1
 CONTEXT = LENGTH + SPAN - 1
-#: Contexts of one gram that a task holds: their windows take 16 bytes each, some 80 MB, and twice that while levels merge.
-HOT = 32768
+#: Contexts in a block of one gram: about how many of a hot gram's meet in one family.
+BLOCK = 1024
+#: Contexts after which a family ends at the next block's border (their windows take some 16 MB), and in one of its batches.
+FAMILY_ROWS, FAMILY_BATCH = 8192, 2048
 SEGMENT = 1 << 18
-FAMILY_BATCH = 2048
 
 
 @functools.lru_cache(maxsize=1)
@@ -165,35 +175,29 @@ def windows(contexts: list[bytes], lefts: np.ndarray, grams: np.ndarray) -> tupl
 
 
 class IndexFamily:
-    """Levels of suffix arrays (sorted window keys with their place); hits marks the places whose window occurs again."""
+    """Levels of suffix arrays (sorted window keys with their place); hits tells of every key added whether it occurs again."""
 
     def __init__(self) -> None:
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        self.hits: list[np.ndarray] = []
-        self.places = 0
-
-    def _mark(self, places: np.ndarray) -> None:
-        batch, place = places // (FAMILY_BATCH * SPAN), places % (FAMILY_BATCH * SPAN)
-        for b in np.unique(batch):
-            self.hits[b][place[batch == b]] = True
-
-    def add(self, keys: np.ndarray, exists: np.ndarray) -> None:
-        """A batch of at most FAMILY_BATCH contexts."""
-        mine = len(self.hits) * FAMILY_BATCH * SPAN
-        self.hits.append(np.zeros(keys.size, bool))
-        where = np.flatnonzero(exists)
+        self.marks: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, exists: np.ndarray | None = None) -> None:
+        """A batch of keys; places count over all batches."""
+        where = np.arange(keys.size) if exists is None else np.flatnonzero(exists)
         array = keys.ravel()[where]
         order = np.argsort(array, kind="stable")
-        array, where = array[order], where[order] + mine
+        array, where = array[order], where[order] + self.size
+        self.size += keys.size
         again = array[1:] == array[:-1]
-        self._mark(np.concatenate([where[1:][again], where[:-1][again]]))
+        self.marks += [where[1:][again], where[:-1][again]]
         first = np.concatenate([[True], ~again]) if len(array) else np.zeros(0, bool)
         array, where = array[first], where[first]
         for level, at in self.levels:
             spot = np.searchsorted(level, array)
             spot[spot == len(level)] = 0
             met = level[spot] == array
-            self._mark(np.concatenate([where[met], at[spot[met]]]))
+            self.marks += [where[met], at[spot[met]]]
             array, where = array[~met], where[~met]
         if not len(array):
             return
@@ -204,101 +208,193 @@ class IndexFamily:
             array, where = array[order], where[order]
         self.levels.append((array, where))
 
-    def covered(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Per batch: contexts with a repeated window, their largest and smallest offset of one."""
-        for hits in self.hits:
-            hits = hits.reshape(-1, SPAN)
-            found = np.flatnonzero(hits.any(axis=1))
-            yield found, SPAN - 1 - hits[found][:, ::-1].argmax(axis=1), hits[found].argmax(axis=1)
+    def hits(self) -> np.ndarray:
+        out = np.zeros(self.size, bool)
+        for places in self.marks:
+            out[places] = True
+        return out
 
 
-INTERVAL = "rid long, pos int, most int, least int"
+ID = ["rid", "rid2"]
+INTERVAL = "rid long, rid2 long, pos int, most int, least int"
 
 
 def _anchor_table(docs: DataFrame) -> DataFrame:
-    schema = "gram long, context long, rid long, pos int"
+    schema = "gram long, context long, rid long, rid2 long, pos int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, texts = 0, batch.column(0).cast(pa.binary())
             while at < len(texts):
-                group, held, first = [], 0, at
+                group, held = [], 0
                 while at < len(texts) and held < SEGMENT:
                     group.append(texts[at].as_py() or b"")
                     held += len(group[-1])
                     at += 1
-                rids = np.asarray([int.from_bytes(hashlib.sha256(t).digest()[:8], "big", signed=True) for t in group], np.int64)
+                ids = digest_words(group)
                 owners, places, grams, contexts = anchors(group)
-                columns = [grams.view(np.int64), contexts.view(np.int64), rids[owners], places.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "context", "rid", "pos"])
+                columns = [grams.view(np.int64), contexts.view(np.int64), ids[owners, 0], ids[owners, 1], places.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "context", *ID, "pos"])
 
     return docs.select("text").mapInArrow(run, schema)
 
 
+ROW = "gram long, block int, blocks int, rid long, rid2 long, pos int, left int, bytes binary"
+
+
 def _context_rows(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """gram, rid, pos, left, context bytes of the wanted anchors (gram, rid, pos), read from texts (rid, text)."""
-    per_text = wanted.groupBy("rid").agg(F.collect_set(F.struct("pos", "gram")).alias("marks"))
-    joined = texts.join(per_text, "rid").select("rid", "text", F.col("marks.pos").alias("p"), F.col("marks.gram").alias("g"))
+    """gram, block, blocks, rid, rid2, pos, left, context bytes of the wanted anchors (gram, blocks, rid, rid2, pos), read from texts (rid, rid2, text)."""
+    per_text = wanted.groupBy(*ID).agg(F.collect_set(F.struct("pos", "gram", "blocks")).alias("marks"))
+    joined = texts.join(per_text, ID).select(*ID, "text", *[F.col(f"marks.{c}").alias(c) for c in ("pos", "gram", "blocks")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["gram", "rid", "pos", "left", "bytes"]
+        seen: set[tuple[int, int]] = set()  # copies of one text give the same rows
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        names = ["gram", "block", "blocks", *ID, "pos", "left", "bytes"]
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for rid, text, places, grams in zip(batch.column(0), batch.column(1).cast(pa.binary()), batch.column(2), batch.column(3)):
-                rid, text = rid.as_py(), text.as_py()
-                for p, g in zip(places.as_py(), grams.as_py()):
+            out: tuple[list, ...] = tuple([] for _ in kinds)
+            for rid, rid2, text, *marks in zip(batch.column(0), batch.column(1), batch.column(2).cast(pa.binary()), *batch.columns[3:]):
+                rid, rid2 = rid.as_py(), rid2.as_py()
+                if (rid, rid2) in seen:
+                    continue
+                seen.add((rid, rid2))
+                text = text.as_py()
+                for p, gram, blocks in zip(*(m.as_py() for m in marks)):
                     begin = max(0, p - SPAN + 1)
-                    for values, value in zip(out, (g, rid, p, p - begin, text[begin : p + LENGTH])):
+                    row = (gram, (rid2 + p * 0x9E3779B1) % blocks, blocks, rid, rid2, p, p - begin, text[begin : p + LENGTH])
+                    for values, value in zip(out, row):
                         values.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=names)
 
-    return joined.mapInArrow(run, "gram long, rid long, pos int, left int, bytes binary")
+    return joined.mapInArrow(run, ROW)
+
 
+def _intervals(ids: np.ndarray, hits: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """rid, rid2, pos, most, least of the contexts (n x 3 ids) with a hit; hits and offsets by window, in the order of ids' rows."""
+    row = np.flatnonzero(hits)
+    owner, offset = row if hits.ndim == 1 else row // hits.shape[1], offsets.ravel()[row]
+    most, least = np.full(len(ids), -1), np.full(len(ids), SPAN)
+    np.maximum.at(most, owner, offset)
+    np.minimum.at(least, owner, offset)
+    found = np.flatnonzero(most >= 0)
+    return [ids[found, 0], ids[found, 1], ids[found, 2].astype(np.int32), most[found].astype(np.int32), least[found].astype(np.int32)]
 
-def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    gram, rid, pos, left = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-    return gram.view(U), rid, pos, left.astype(np.int64), batch.column(4).to_pylist()
+
+FAMILY = INTERVAL + ", gram long, salt int, windows binary"
+#: Salts for each block of a gram, so that a salt's share of a block's windows is a part of what a task holds.
+SALTS = 4
+PACKED = np.dtype([("key", "<u8"), ("rid", "<i8"), ("rid2", "<i8"), ("pos", "<i4"), ("offset", "<i2")])
 
 
 def _by_family(rows: DataFrame) -> DataFrame:
-    """Intervals of contexts that share a window with another context of their gram."""
+    """Rows of two kinds: intervals of contexts that share a window with another of their block; and, of grams with
+    several blocks, a block's distinct windows by salt (windows not null, to be merged over blocks)."""
+
+    def nothing(n: int, kinds: list) -> list[pa.Array]:
+        return [pa.nulls(n, k) for k in kinds]
+
+    whole = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    packed = [pa.int64(), pa.int32(), pa.binary()]
+    names = ["rid", "rid2", "pos", "most", "least", "gram", "salt", "windows"]
+
+    def one(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """A family over whole blocks, rows sorted by gram, block and place."""
+        family, shared = IndexFamily(), []
+        gram, block, blocks, rid, rid2, pos, left = (part.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+        ids = np.stack([rid, rid2, pos.astype(np.int64)], axis=1)
+        for at in range(0, len(gram), FAMILY_BATCH):
+            cut = slice(at, at + FAMILY_BATCH)
+            keys, exists = windows(part.column(7)[cut].to_pylist(), left[cut].astype(np.int64), gram[cut].view(U))
+            family.add(keys, exists)
+            hot = np.flatnonzero(blocks[cut] > 1)
+            if len(hot):
+                row, offset = np.nonzero(exists[hot])
+                row = hot[row]
+                some = np.empty(len(row), PACKED)
+                for name, values in (("key", keys[row, offset]), ("rid", rid[cut][row]), ("rid2", rid2[cut][row]), ("pos", pos[cut][row]), ("offset", offset)):
+                    some[name] = values
+                shared.append((gram[cut][row], blocks[cut][row].astype(U) * U(SALTS), some))
+        hits = family.hits().reshape(-1, SPAN)
+        found = _intervals(ids, hits, np.broadcast_to(np.arange(SPAN), hits.shape))
+        yield pa.RecordBatch.from_arrays([*map(pa.array, found), *nothing(len(found[0]), packed)], names=names)
+        if shared:
+            of, salts, some = (np.concatenate([x[i] for x in shared]) for i in range(3))
+            _, first = np.unique(some["key"], return_index=True)
+            of, salt, some = of[first], (some["key"][first] % salts[first]).astype(np.int32), some[first]
+            order = np.lexsort((salt, of))
+            of, salt, some = of[order], salt[order], some[order]
+            edge = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (salt[1:] != salt[:-1])]))
+            data = [some[a:b].tobytes() for a, b in zip(edge, [*edge[1:], len(of)])]
+            yield pa.RecordBatch.from_arrays(
+                [*nothing(len(edge), whole), pa.array(of[edge]), pa.array(salt[edge]), pa.array(data, pa.binary())], names=names
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, rids, places = IndexFamily(), [], []
+        held, size = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, FAMILY_BATCH):
-                grams, rid, pos, left, contexts = _columns(batch.slice(at, FAMILY_BATCH))
-                family.add(*windows(contexts, left, grams))
-                rids.append(rid)
-                places.append(pos)
-        for rid, pos, (found, most, least) in zip(rids, places, family.covered()):
-            columns = [rid[found], pos[found], most.astype(np.int32), least.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rid", "pos", "most", "least"])
-
-    return rows.repartition("gram").dropDuplicates(["gram", "rid", "pos"]).mapInArrow(run, INTERVAL)
-
-
-def _by_counts(rows: DataFrame) -> DataFrame:
-    """The same for grams with very many contexts: windows counted by key."""
+            held.append(batch)
+            size += batch.num_rows
+            if size >= FAMILY_ROWS:
+                table = _distinct(held)
+                edges = _edges(table, ["gram", "block"])
+                if len(edges) > 1:
+                    yield from one(table.slice(0, edges[-1]))
+                    table = table.slice(edges[-1])
+                held, size = [table], table.num_rows
+        if size:
+            yield from one(_distinct(held))
+
+    return rows.repartition("gram", "block").sortWithinPartitions("gram", "block", *ID, "pos").mapInArrow(run, FAMILY)
+
+
+def _edges(table: pa.RecordBatch, by: list[str]) -> np.ndarray:
+    """Rows at which a new group of sorted rows begins."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for name in by:
+        values = table.column(table.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+        new[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(new)
+
+
+def _distinct(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """The sorted batches as one, without repeated rows."""
+    table = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+    return table.take(pa.array(_edges(table, ["gram", *ID, "pos"])))
+
+
+def _over_blocks(shared: DataFrame) -> DataFrame:
+    """Intervals of contexts that share a window with one of another block: the blocks' arrays of a gram and salt are merged."""
+
+    def merged(group: list[bytes]) -> Iterator[pa.RecordBatch]:
+        family = IndexFamily()
+        for data in group:
+            family.add(np.frombuffer(data, PACKED)["key"])
+        some = np.frombuffer(b"".join(group), PACKED)
+        some = some[family.hits()]
+        ids = np.stack([some["rid"], some["rid2"], some["pos"].astype(np.int64)], axis=1)
+        found = _intervals(ids, np.ones(len(ids), bool), some["offset"].astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["rid", "rid2", "pos", "most", "least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[bytes] = []
+        last = None
         for batch in batches:
-            for at in range(0, batch.num_rows, FAMILY_BATCH):
-                grams, rid, pos, left, contexts = _columns(batch.slice(at, FAMILY_BATCH))
-                keys, exists = windows(contexts, left, grams)
-                row, offset = np.nonzero(exists)
-                columns = [keys.view(np.int64)[row, offset], rid[row], pos[row], offset.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "rid", "pos", "offset"])
+            for gram, salt, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if (gram, salt) != last and group:
+                    yield from merged(group)
+                    group = []
+                last = gram, salt
+                group.append(data)
+        if group:
+            yield from merged(group)
 
-    spread = work_table(rows.dropDuplicates(["gram", "rid", "pos"]).mapInArrow(run, "key long, rid long, pos int, offset int"), "hot-windows")
-    twice = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    met = spread.join(twice, "key")
-    return met.groupBy("rid", "pos").agg(F.max("offset").alias("most"), F.min("offset").alias("least"))
+    rows = shared.select("gram", "salt", "windows").repartition("gram", "salt").sortWithinPartitions("gram", "salt")
+    return rows.mapInArrow(run, INTERVAL).groupBy(*ID, "pos").agg(F.max("most").alias("most"), F.min("least").alias("least"))
 
 
 def repeated_intervals(docs: DataFrame) -> DataFrame:
-    """rid, intervals (array of pos, most, least): the bytes from pos - most to pos - least + LENGTH are repeated."""
+    """rid, rid2, intervals (array of pos, most, least): the bytes from pos - most to pos - least + LENGTH are repeated."""
     table = work_table(_anchor_table(docs), "anchors")
     counts = table.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("z"))
     shared = counts.where("n > 1").select("gram", (F.col("a") != F.col("z")).alias("mixed"))
@@ -311,27 +407,31 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
     release(docs.sparkSession)
     whole = F.lit(SPAN - 1).alias("most"), F.lit(0).alias("least")
     mixed = meeting.where("mixed")
-    classes = mixed.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos")).alias("at"))
+    classes = mixed.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct(*ID, "pos")).alias("at"))
     classes = work_table(classes, "contexts")
     twice = mixed.join(classes.where("n > 1").select("gram", "context"), ["gram", "context"], "left_semi")
-    alike = meeting.where("not mixed").select("rid", "pos").unionByName(twice.select("rid", "pos"))
+    alike = meeting.where("not mixed").select(*ID, "pos").unionByName(twice.select(*ID, "pos"))
     # by text at once: what follows needs no more of the anchors
-    alike = work_table(alike.groupBy("rid").agg(F.collect_set(F.struct("pos", *whole)).alias("intervals")), "covered")
+    alike = work_table(alike.groupBy(*ID).agg(F.collect_set(F.struct("pos", *whole)).alias("intervals")), "covered")
     open_grams = classes.groupBy("gram").agg(F.min("n").alias("least"), F.count("*").alias("kinds")).where("least = 1")
-    wanted = work_table(classes.join(open_grams, "gram").select("gram", "at.rid", "at.pos", (F.col("kinds") > HOT).alias("hot")), "open")
-    for done in (meeting, classes):
+    open_grams = work_table(open_grams.select("gram", F.ceil(F.col("kinds") / BLOCK).cast("int").alias("blocks")), "open-grams")
+    wanted = work_table(classes.join(open_grams, "gram").select("gram", "at.*", "blocks"), "open")
+    for done in (meeting, classes, open_grams):
         drop_table(done)
     release(docs.sparkSession)
-    texts = docs.select(text_key(F.col("text")).alias("rid"), "text").where(F.octet_length("text") >= LENGTH)
+    one, two = text_words(F.col("text"))
+    texts = docs.select(one.alias("rid"), two.alias("rid2"), "text").where(F.octet_length("text") >= LENGTH)
     rows = work_table(_context_rows(texts, wanted), "context-bytes")
+    drop_table(wanted)
+    release(docs.sparkSession)
+    found = work_table(_by_family(rows), "families")
+    drop_table(rows)
     release(docs.sparkSession)
-    # copies of one text give the same rows
-    hot_grams = wanted.where("hot").select("gram").distinct()
-    usual, hot = rows.join(hot_grams, "gram", "left_anti"), rows.join(hot_grams, "gram", "left_semi")
-    found = _by_family(usual).unionByName(_by_counts(hot))
-    parts = found.groupBy("rid").agg(F.collect_set(F.struct("pos", "most", "least")).alias("intervals"))
-    both = work_table(alike.unionByName(parts).groupBy("rid").agg(F.flatten(F.collect_list("intervals")).alias("intervals")), "intervals")
-    for done in (alike, wanted, rows):
+    inside = found.where("windows is null").select(*ID, "pos", "most", "least")
+    across = _over_blocks(found.where("windows is not null"))
+    parts = inside.unionByName(across).groupBy(*ID).agg(F.collect_set(F.struct("pos", "most", "least")).alias("intervals"))
+    both = work_table(alike.unionByName(parts).groupBy(*ID).agg(F.flatten(F.collect_list("intervals")).alias("intervals")), "intervals")
+    for done in (alike, found):
         drop_table(done)
     release(docs.sparkSession)
     return both
@@ -373,9 +473,10 @@ def whole_characters(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int
 
 def _with_runs(docs: DataFrame, columns: list[str]) -> DataFrame:
     """columns of docs, text first, with the arrays pos, most, least of the text's intervals."""
-    found = repeated_intervals(docs).select(F.col("rid").alias("__found"), F.col("intervals").alias("__intervals"))
-    rows = docs.withColumn("__rid", text_key(F.col("text")))
-    joined = rows.join(found, F.col("__rid") == F.col("__found"), "left")
+    found = repeated_intervals(docs).select(F.col("rid").alias("__one"), F.col("rid2").alias("__two"), F.col("intervals").alias("__intervals"))
+    one, two = text_words(F.col("text"))
+    rows = docs.withColumns({"__rid": one, "__rid2": two})
+    joined = rows.join(found, (F.col("__rid") == F.col("__one")) & (F.col("__rid2") == F.col("__two")), "left")
     parts = [F.col(f"__intervals.{c}").alias(f"__{c}") for c in ("pos", "most", "least")]
     return joined.select("text", *parts, *columns)
 
