@@ -16,14 +16,15 @@ bucket, then one text of every component, drawn by a salted order, to one of the
 bucket's largest component. What is left in a bucket that still holds several
 components is compared exactly: texts of different components, as pairs in small
 buckets, and in large ones block against block inside a task, which gives out
-links alone. Texts in one component need no more comparison. Every link is
-verified on the whole texts.
+links alone; the largest component's texts meet only those outside it. Texts in
+one component need no more comparison, and two texts that share several buckets
+are compared in the first alone. Every link is verified on the whole texts.
 
 With BANDS bands of ROWS registers, a pair at similarity 0.8 shares no band with
 probability below 1e-4, and less above.
 
-Equal texts are one text throughout (64 bits of their SHA-256 stand for them),
-so groups of copies cost one signature's bands once.
+Equal texts are one text throughout, known by 128 bits of their SHA-256 and then
+by a number (tk), so groups of copies cost one signature's bands once.
 
 Defined cases: a null text counts as empty; texts without words are linked only
 to equal texts; texts of fewer than five words are one shingle; repeated rows
@@ -33,18 +34,18 @@ gives an empty result; other columns are not looked at.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldsieve.llm.shingles import U, mix, multisets, overlaps
+from foldsieve.llm.common import digest_words, text_words
+from foldsieve.llm.shingles import Bags, U, mix, multisets, overlaps
 from foldsieve.operators.components import connected_components
-from foldsieve.session import work_table
+from foldsieve.session import drop_table, work_table
 
 ROWS, BANDS = 7, 40
 SIMILARITY = 0.8
@@ -117,15 +118,9 @@ def sketches(times: np.ndarray) -> np.ndarray:
     return (mix(np.ascontiguousarray(times).view(U)) >> U(48)).astype("<u2")
 
 
-def text_key(text: Column) -> Column:
-    """64 bits of the text's SHA-256 as a long; null counts as empty."""
-    digest = F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
-    return F.conv(F.substring(digest, 1, 16), 16, -10).cast("long")
-
-
 def signed_documents(docs: DataFrame, key: str, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """key, tk, bands (empty without words), sketch."""
-    schema = docs.select(key).schema.add("tk", "long").add("bands", T.ArrayType(T.LongType())).add("sketch", "binary")
+    """key, one and two (128 bits of the text), bands (empty without words), sketch."""
+    schema = docs.select(key).schema.add("one", "long").add("two", "long").add("bands", T.ArrayType(T.LongType())).add("sketch", "binary")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,11 +133,12 @@ def signed_documents(docs: DataFrame, key: str, rows: int = ROWS, bands: int = B
                 times, has = signatures(run, rows * bands)
                 keys, marks = band_keys(times, rows), sketches(times)
                 offsets = np.concatenate([[0], np.cumsum(np.where(has, bands, 0))]).astype(np.int32)
-                tks = [int.from_bytes(hashlib.sha256(t).digest()[:8], "big", signed=True) for t in run]
+                ids = digest_words(run)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, len(run)),
-                        pa.array(tks, pa.int64()),
+                        pa.array(ids[:, 0]),
+                        pa.array(ids[:, 1]),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[has].ravel())),
                         pa.array([m.tobytes() for m in marks], pa.binary()),
                     ],
@@ -185,10 +181,13 @@ def _verified(pairs: DataFrame, sketch: DataFrame, texts: DataFrame, similarity:
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", similarity: float = SIMILARITY, rows: int = ROWS, bands: int = BANDS
 ) -> DataFrame:
-    """One row per document: key, tk (its text's key), class_tk (its class's smallest text key)."""
+    """One row per document: key, one and two (its text), tk (the text's number), class_tk (its class's smallest number)."""
     signed = work_table(signed_documents(docs, key, rows, bands), "signed")
-    unique = work_table(signed.select("tk", "bands", "sketch").dropDuplicates(["tk"]), "signatures")
-    sketch = unique.select("tk", "sketch")
+    unique = signed.select("one", "two", "bands", "sketch").dropDuplicates(["one", "two"])
+    # numbers of one run; what is returned does not depend on them
+    unique = work_table(unique.withColumn("tk", F.monotonically_increasing_id()), "signatures")
+    numbered = work_table(signed.select(key, "one", "two").join(unique.select("one", "two", "tk"), ["one", "two"]), "numbered")
+    drop_table(signed)
     spread = unique.select("tk", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.min("tk").alias("a"), F.max("tk").alias("z")).where("a <> z").select("bucket", "a")
     # a table, so that Spark can split the rows of a hot bucket over many tasks
@@ -196,11 +195,13 @@ def near_duplicates(
     members = work_table(spread.join(shared, "bucket").select("bucket", "a", F.col("tk").alias("b")), "buckets")
     # one row of documents per text that is in a bucket with others
     wanted = members.select(F.col("b").alias("tk")).distinct()
-    first = signed.groupBy("tk").agg(F.min(key).alias(key)).join(wanted, "tk")
-    rows_of = docs.select(key, "text").withColumn("tk", text_key(F.col("text")))
+    first = numbered.groupBy("tk", F.col("one").alias("__one"), F.col("two").alias("__two")).agg(F.min(key).alias("__key")).join(wanted, "tk")
+    one, two = text_words(F.col("text"))
+    rows_of = docs.select(F.col(key).alias("__own"), "text", one.alias("__1"), two.alias("__2"))
     # a text whose every row has a null key is taken by that null
-    rows_of = rows_of.join(first, (rows_of["tk"] == first["tk"]) & rows_of[key].eqNullSafe(first[key]), "left_semi")
-    texts = work_table(rows_of.select("tk", "text"), "texts").dropDuplicates(["tk"])
+    same = (F.col("__1") == F.col("__one")) & (F.col("__2") == F.col("__two")) & F.col("__own").eqNullSafe(F.col("__key"))
+    texts = work_table(rows_of.join(first, same).select("tk", "text"), "texts").dropDuplicates(["tk"])
+    sketch = unique.select("tk", "sketch")
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
         return work_table(_verified(pairs, sketch, texts, similarity, rows * bands), name)
@@ -210,69 +211,89 @@ def near_duplicates(
     for salt in (1, 2):
         held = _held(members, links)
         order = F.xxhash64(F.lit(salt), "tk")
-        best = held.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.min_by("tk", order).alias("tk"))
+        best = work_table(held.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.min_by("tk", order).alias("tk")), "best")
         star = best.groupBy("bucket").agg(F.max_by("tk", F.struct("n", F.xxhash64(F.lit(salt), "component"), "tk")).alias("hub"))
-        more = best.join(star, "bucket").where("tk <> hub").select(F.least("tk", "hub").alias("a"), F.greatest("tk", "hub").alias("b"))
+        more = best.join(work_table(star, "hubs"), "bucket").where("tk <> hub").select(F.least("tk", "hub").alias("a"), F.greatest("tk", "hub").alias("b"))
         more = work_table(more.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionByName(more)
         links = links.unionByName(verify(more, "links"))
     held = _held(members, links)
-    sizes = held.groupBy("bucket").agg(F.count("*").alias("size"))
-    held = work_table(held.join(sizes, "bucket"), "held")
     small = held.where(F.col("size") <= SMALL)
     left = small.select("bucket", F.col("tk").alias("a"), F.col("component").alias("ca"))
     right = small.select("bucket", F.col("tk").alias("b"), F.col("component").alias("cb"))
     rest = left.join(right, "bucket").where("a < b and ca <> cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    large = _in_blocks(held.where(F.col("size") > SMALL), sketch, texts, similarity, rows * bands)
+    large = _in_blocks(held.where(F.col("size") > SMALL), unique.select("tk", "bands", "sketch"), texts, similarity, rows * bands)
     links = work_table(links.unionByName(verify(rest, "links")).unionByName(large), "links")
     found = connected_components(links, "a", "b")
-    out = signed.select(key, "tk").join(found, F.col("tk") == F.col("node"), "left")
-    return out.select(key, "tk", F.coalesce("component", "tk").alias("class_tk"))
+    out = numbered.join(found, F.col("tk") == F.col("node"), "left")
+    return out.select(key, "one", "two", "tk", F.coalesce("component", "tk").alias("class_tk"))
 
 
-def _in_blocks(held: DataFrame, sketch: DataFrame, texts: DataFrame, similarity: float, registers: int) -> DataFrame:
+def _in_blocks(held: DataFrame, signed: DataFrame, texts: DataFrame, similarity: float, registers: int) -> DataFrame:
     """Links (a, b) between components of large buckets.
 
-    A bucket's texts are dealt into blocks of about BLOCK; every two blocks meet
-    in one task's memory, where sketches choose and whole texts confirm, and
-    texts already linked there are not compared again.
+    The texts outside a bucket's largest component are dealt into blocks of
+    about BLOCK, and so are those inside it; every block of the former meets
+    every block in a task's memory. There, pairs of different components whose
+    first common band is this bucket's are compared by sketch, and confirmed on
+    whole texts by falling similarity; texts already linked are not compared.
     """
     least = similarity - SKETCH_MARGIN * (similarity * (1 - similarity) / registers) ** 0.5
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = held.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("tk"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cells = own.select("bucket", "tk", "component", "block", other.alias("other"))
+    parts = held.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    shape = parts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.max("n").alias("n_major"), F.sum("n").alias("n_all"))
+    outer = F.ceil((F.col("n_all") - F.col("n_major")) / BLOCK).cast("int").alias("outer")
+    shape = work_table(shape.select("bucket", "major", outer, F.ceil(F.col("n_major") / BLOCK).cast("int").alias("inner")), "blocks")
+    own = held.select("bucket", "tk", "component").join(shape, "bucket")
+    block = F.when(F.col("component") == F.col("major"), F.col("outer") + F.pmod(F.xxhash64("tk"), F.col("inner"))).otherwise(F.pmod(F.xxhash64("tk"), F.col("outer")))
+    own = own.withColumn("block", block.cast("int"))
+    last = F.when(F.col("block") >= F.col("outer"), F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
+    cells = own.select("bucket", "tk", "component", "block", F.explode(F.sequence(F.lit(0), last)).alias("other"))
     cells = cells.select("bucket", "tk", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    rows = cells.join(sketch, "tk").join(texts, "tk").select("bucket", "i", "j", "block", "tk", "component", "sketch", "text")
+    rows = cells.join(signed, "tk").join(texts, "tk").select("bucket", "i", "j", "block", "tk", "component", "sketch", "text", "bands")
 
     def links(cell: list[tuple]) -> Iterator[tuple[int, int]]:
-        i, j = cell[0][1:3]
-        block = np.asarray([r[3] for r in cell])
-        tk, body = [r[4] for r in cell], [(r[7] or "").encode() for r in cell]
+        bucket, i, j = cell[0][:3]
+        block, tk, group = (np.asarray([r[k] for r in cell]) for k in (3, 4, 5))
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        if not len(left) or not len(right):
+            return
         marks = np.frombuffer(b"".join(r[6] for r in cell), "<u2").reshape(len(cell), -1)
-        group = np.asarray([r[5] for r in cell])
-        for x in range(len(cell)):
-            far = group != group[x]
-            far[: x + 1] &= False
-            if i != j:
-                far &= block != block[x]
-            near = np.flatnonzero(far)
-            if not len(near):
-                continue
-            alike = (marks[near] == marks[x]).mean(axis=1)
-            near = near[np.argsort(-alike, kind="stable")][: int((alike >= least).sum())]
-            for at in range(0, len(near), 16):
-                part = [y for y in near[at : at + 16] if group[y] != group[x]]
-                found = overlaps([body[x]] * len(part), [body[y] for y in part]) >= similarity - 1e-12 if part else ()
-                for y, linked in zip(part, found):
-                    if linked:
-                        yield min(tk[x], tk[y]), max(tk[x], tk[y])
-                        group[group == group[y]] = group[x]
+        keys = np.stack([np.asarray(r[8], np.int64) for r in cell])
+        unmet = group[left][:, None] != group[right][None, :]
+        if i == j:
+            unmet &= tk[left][:, None] < tk[right][None, :]
+        for band in range(keys.shape[1]):
+            # no pair of the bucket that also shares an earlier band
+            if keys[left[0], band] == bucket:
+                break
+            unmet &= keys[left, band][:, None] != keys[right, band][None, :]
+        x, y = np.nonzero(unmet)
+        x, y = left[x], right[y]
+        alike = np.zeros(len(x))
+        for at in range(0, len(x), 8192):
+            alike[at : at + 8192] = (marks[x[at : at + 8192]] == marks[y[at : at + 8192]]).mean(axis=1)
+        near = np.flatnonzero(alike >= least)
+        if not len(near):
+            return
+        near = near[np.argsort(-alike[near], kind="stable")]
+        x, y = x[near], y[near]
+        bags, size = Bags([(r[7] or "").encode() for r in cell]), 64
+        while len(x):
+            # most links come first: short runs of pairs not yet linked, then longer ones
+            apart = np.flatnonzero(group[x] != group[y])
+            x, y = x[apart], y[apart]
+            a, b = x[:size], y[:size]
+            linked = bags.similarities(a, b) >= similarity - 1e-12
+            for p, q in zip(a[linked], b[linked]):
+                if group[p] != group[q]:
+                    yield min(tk[p], tk[q]), max(tk[p], tk[q])
+                    group[group == group[q]] = group[p]
+            x, y, size = x[size:], y[size:], min(2 * size, 8192)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
             pairs = list(links(cell))
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         cell: list[tuple] = []
         for batch in batches:
@@ -289,13 +310,15 @@ def _in_blocks(held: DataFrame, sketch: DataFrame, texts: DataFrame, similarity:
 
 
 def _held(members: DataFrame, links: DataFrame) -> DataFrame:
-    """bucket, tk, component of the buckets that still hold several components."""
+    """bucket, tk, component, size of the buckets that still hold several components."""
     found = connected_components(links, "a", "b")
     now = members.join(found, F.col("b") == F.col("node"), "left").select(
         "bucket", F.col("b").alias("tk"), F.coalesce("component", "b").alias("component")
     )
-    mixed = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    return work_table(now.join(mixed, "bucket"), "held")
+    now = work_table(now, "components")
+    mixed = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y")
+    # a table, so that Spark can split the rows of a hot bucket over many tasks
+    return work_table(now.join(work_table(mixed.select("bucket", "size"), "mixed-buckets"), "bucket"), "held")
 
 
 def near_duplicate_classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -308,10 +331,11 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs with one document of each class, that of the smallest key; columns as in docs."""
+    """docs with one document of each class, that of the smallest key (of equal keys, the smallest digest); columns as in docs."""
     found = near_duplicates(docs, key)
-    kept = found.groupBy("class_tk").agg(F.min(F.struct(key, "tk")).alias("kept")).select("kept.tk", f"kept.{key}")
-    kept = work_table(kept, "kept").select(F.col("tk").alias("__tk"), F.col(key).alias("__key"))
-    rows = docs.withColumn("tk__", text_key(F.col("text")))
-    joined = rows.join(kept, (rows["tk__"] == kept["__tk"]) & rows[key].eqNullSafe(kept["__key"]), "left_semi")
-    return joined.dropDuplicates(["tk__", key]).select(*docs.columns)
+    kept = found.groupBy("class_tk").agg(F.min(F.struct(key, "one", "two")).alias("kept")).select("kept.*")
+    kept = work_table(kept.select(F.col("one").alias("__one"), F.col("two").alias("__two"), F.col(key).alias("__key")), "kept")
+    one, two = text_words(F.col("text"))
+    rows = docs.withColumns({"__1": one, "__2": two})
+    same = (rows["__1"] == kept["__one"]) & (rows["__2"] == kept["__two"]) & rows[key].eqNullSafe(kept["__key"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["__1", "__2", key]).select(*docs.columns)

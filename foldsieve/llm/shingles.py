@@ -105,3 +105,41 @@ def overlaps(left: list[bytes], right: list[bytes]) -> np.ndarray:
     common = np.bincount(owners[same], weights=np.minimum(counts[same], counts[same + 1]), minlength=n)
     union = totals - common
     return np.divide(common, union, out=np.zeros(n), where=union > 0)
+
+
+class Bags:
+    """The shingle multisets of some texts, hashed once, and similarities of pairs of them."""
+
+    #: Shingles looked at together.
+    HELD = 1 << 20
+
+    def __init__(self, texts: list[bytes]):
+        self.hashes, owners, self.counts = multisets(texts)
+        self.begin = np.searchsorted(owners, np.arange(len(texts)))
+        self.sizes = np.searchsorted(owners, np.arange(len(texts)), "right") - self.begin
+        self.totals = np.bincount(owners, weights=self.counts, minlength=len(texts))
+
+    def _spread(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of all shingles of the texts, and the number of each one's pair."""
+        sizes = self.sizes[which]
+        pair = np.repeat(np.arange(len(which)), sizes)
+        return np.arange(len(pair)) + np.repeat(self.begin[which] - (np.cumsum(sizes) - sizes), sizes), pair
+
+    def similarities(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Weighted Jaccard similarity of each pair of texts; 0 if neither has a shingle."""
+        out, at = np.zeros(len(left)), 0
+        load = np.cumsum(self.sizes[left] + self.sizes[right])
+        while at < len(left):
+            end = max(at + 1, int(np.searchsorted(load, (load[at - 1] if at else 0) + self.HELD, "right")))
+            a, b = left[at:end], right[at:end]
+            (one, p), (two, q) = self._spread(a), self._spread(b)
+            places, pairs = np.concatenate([one, two]), np.concatenate([p, q])
+            order = np.lexsort((self.hashes[places], pairs))
+            places, pairs = places[order], pairs[order]
+            hashes, counts = self.hashes[places], self.counts[places]
+            same = np.flatnonzero((hashes[1:] == hashes[:-1]) & (pairs[1:] == pairs[:-1]))
+            common = np.bincount(pairs[same], weights=np.minimum(counts[same], counts[same + 1]), minlength=len(a))
+            union = self.totals[a] + self.totals[b] - common
+            out[at:end] = np.divide(common, union, out=np.zeros(len(a)), where=union > 0)
+            at = end
+        return out
