@@ -1,20 +1,27 @@
 """Media columns: signature sniffing, format validation, type correction and carving.
 
-An Aho-Corasick automaton finds every magic number of every known format in one
-pass over the bytes, wherever it stands. A validator per format then follows
-the structure from there (chunks, blocks, tables, trailers) and gives the exact
-length, or rejects the match. What starts at byte 0 and is valid corrects the
-declared type; valid media further in, unless inside another one that was
+An Aho-Corasick automaton finds every magic number and end mark of every known
+format in one pass over the bytes, wherever it stands. A validator per format
+then follows the structure from there (chunks, blocks, tables, trailers) and
+gives the exact length, or rejects the match. End marks are looked up, and
+chains of blocks that were walked once are remembered, so bytes full of magic
+numbers take no longer than others. What starts at byte 0 and is valid corrects
+the declared type; valid media further in, unless inside another one that was
 already carved, are embedded and can be cut out.
 
+Stored media are a Parquet table in the shared folder, and what is computed of
+them is read from there.
+
 Defined cases: null or empty bytes have no type and no parts, and declare
 nothing; a declared type without a valid format stays, marked as unconfirmed;
 truncated media are not confirmed; repeated rows are all returned; an empty
-table gives an empty result; other columns pass through.
+table gives an empty result; other columns pass through, but for columns named
+as the new ones, which these replace.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import struct
@@ -26,12 +33,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foldsieve.session import work_path
+
 UNKNOWN = "application/octet-stream"
 BLOCK = 64
 RATE = 8000
 
 
-def _png(d: bytes, at: int) -> int | None:
+class Marks:
+    """End marks of some bytes, by place, and block chains walked so far."""
+
+    def __init__(self, data: bytes, places: dict[bytes, list[int]]):
+        self.places = places
+        self.chains: dict[int, int] = {}
+        #: End of an archive by the place of its first local header.
+        self.archives: dict[int, int] = {}
+        for p in places.get(ARCHIVE_END, ()):
+            if p + 22 <= len(data):
+                size, offset, note = struct.unpack_from("<IIH", data, p + 12)
+                directory = not size or data[max(p - size, 0) : p - size + 4] == b"PK\x01\x02"
+                if p - size - offset >= 0 and directory and p + 22 + note <= len(data):
+                    self.archives.setdefault(p - size - offset, p + 22 + note)
+
+    def after(self, mark: bytes, at: int) -> int:
+        """The first place of the mark from at on, or -1."""
+        found = self.places.get(mark, [])
+        i = bisect.bisect_left(found, at)
+        return found[i] if i < len(found) else -1
+
+
+ARCHIVE_END, DOCUMENT_END, DOCUMENT_INDEX = b"PK\x05\x06", b"%%EOF", b"startxref"
+
+
+def _png(d: bytes, at: int, marks: Marks) -> int | None:
     """Chunks with right checksums from IHDR to IEND."""
     p, first = at + 8, True
     while p + 12 <= len(d):
@@ -47,7 +81,7 @@ def _png(d: bytes, at: int) -> int | None:
     return None
 
 
-def _gif(d: bytes, at: int) -> int | None:
+def _gif(d: bytes, at: int, marks: Marks) -> int | None:
     """Logical screen, then blocks with sub-blocks up to the trailer."""
     if at + 13 > len(d):
         return None
@@ -56,11 +90,16 @@ def _gif(d: bytes, at: int) -> int | None:
         p += 3 << (flags & 7) + 1
 
     def blocks(p: int) -> int | None:
-        while p < len(d):
-            if not d[p]:
-                return p + 1
-            p += 1 + d[p]
-        return None
+        """Where the chain of sub-blocks from p on ends; len(d) + 1 stands for nowhere."""
+        walked, end = [], None
+        while end is None:
+            end = marks.chains.get(p)
+            if end is None:
+                walked.append(p)
+                end = len(d) + 1 if p >= len(d) else p + 1 if not d[p] else None
+                p += 1 + d[p] if end is None else 0
+        marks.chains.update(dict.fromkeys(walked, end))
+        return end if end <= len(d) else None
 
     while p < len(d):
         if d[p] == 0x3B:
@@ -77,7 +116,7 @@ def _gif(d: bytes, at: int) -> int | None:
     return None
 
 
-def _jpeg(d: bytes, at: int) -> int | None:
+def _jpeg(d: bytes, at: int, marks: Marks) -> int | None:
     """Marker segments, then scan data with stuffed bytes up to the end marker."""
     p, scanned = at + 2, False
     while p + 4 <= len(d) or p + 2 <= len(d):
@@ -108,7 +147,7 @@ def _jpeg(d: bytes, at: int) -> int | None:
     return None
 
 
-def _bmp(d: bytes, at: int) -> int | None:
+def _bmp(d: bytes, at: int, marks: Marks) -> int | None:
     """File and information headers that agree about sizes."""
     if at + 34 > len(d):
         return None
@@ -118,10 +157,10 @@ def _bmp(d: bytes, at: int) -> int | None:
     return size if good and 14 + header <= offset <= size <= len(d) - at else None
 
 
-def _riff(form: bytes, needed: bytes) -> Callable[[bytes, int], int | None]:
-    def check(d: bytes, at: int) -> int | None:
+def _riff(form: bytes, needed: bytes) -> Callable[[bytes, int, Marks], int | None]:
+    def check(d: bytes, at: int, marks: Marks) -> int | None:
         """Chunks that fill the form exactly and include the needed one."""
-        if at + 12 > len(d) or d[at + 8 : at + 12] != form:
+        if at + 12 > len(d) or d[at : at + 4] != b"RIFF" or d[at + 8 : at + 12] != form:
             return None
         end = at + 8 + struct.unpack_from("<I", d, at + 4)[0]
         p, found = at + 12, False
@@ -134,7 +173,7 @@ def _riff(form: bytes, needed: bytes) -> Callable[[bytes, int], int | None]:
     return check
 
 
-def _gzip(d: bytes, at: int) -> int | None:
+def _gzip(d: bytes, at: int, marks: Marks) -> int | None:
     """A member that inflates, with the right checksum."""
     inflate = zlib.decompressobj(31)
     p = at
@@ -149,24 +188,19 @@ def _gzip(d: bytes, at: int) -> int | None:
     return min(p, len(d)) - len(inflate.unused_data) - at if inflate.eof else None
 
 
-def _zip(d: bytes, at: int) -> int | None:
+def _zip(d: bytes, at: int, marks: Marks) -> int | None:
     """The first end record whose central directory reaches back to this local header."""
-    p = at
-    while (p := d.find(b"PK\x05\x06", p)) >= 0 and p + 22 <= len(d):
-        size, offset, note = struct.unpack_from("<IIH", d, p + 12)
-        if p - size - offset == at and (not size or d[p - size : p - size + 4] == b"PK\x01\x02") and p + 22 + note <= len(d):
-            return p + 22 + note - at
-        p += 4
-    return None
+    end = marks.archives.get(at)
+    return end and end - at
 
 
-def _pdf(d: bytes, at: int) -> int | None:
+def _pdf(d: bytes, at: int, marks: Marks) -> int | None:
     """A header, an xref pointer and the end mark."""
-    end = d.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and d.find(b"startxref", at, end) >= 0 else None
+    end = marks.after(DOCUMENT_END, at)
+    return end + len(DOCUMENT_END) - at if 0 <= marks.after(DOCUMENT_INDEX, at) < end else None
 
 
-def _ogg(d: bytes, at: int) -> int | None:
+def _ogg(d: bytes, at: int, marks: Marks) -> int | None:
     """Pages, one after the other, from a first to a last one."""
     p = at
     while p + 27 <= len(d) and d[p : p + 5] == b"OggS\0":
@@ -183,7 +217,7 @@ def _ogg(d: bytes, at: int) -> int | None:
 
 
 #: Magic numbers, media types, places of the magic in the file, validators.
-FORMATS: list[tuple[bytes, str, int, Callable[[bytes, int], int | None]]] = [
+FORMATS: list[tuple[bytes, str, int, Callable[[bytes, int, Marks], int | None]]] = [
     (b"\x89PNG\r\n\x1a\n", "image/png", 0, _png),
     (b"GIF87a", "image/gif", 0, _gif),
     (b"GIF89a", "image/gif", 0, _gif),
@@ -206,7 +240,9 @@ def _automaton():
     found = ahocorasick.Automaton()
     for magic, kind, place, valid in FORMATS:
         # one character per byte
-        found.add_word(magic.decode("latin-1"), (len(magic), kind, place, valid))
+        found.add_word(magic.decode("latin-1"), (magic, kind, place, valid))
+    for mark in (ARCHIVE_END, DOCUMENT_END, DOCUMENT_INDEX):
+        found.add_word(mark.decode("latin-1"), (mark, None, 0, None))
     found.make_automaton()
     return found
 
@@ -214,47 +250,53 @@ def _automaton():
 def carve(data: bytes | None) -> list[tuple[int, int, str]]:
     """(offset, length, type) of each confirmed medium: the one at byte 0 and those embedded, outermost first."""
     data = data or b""
+    starts, places = [], {}
+    for last, (word, kind, place, valid) in _automaton().iter(data.decode("latin-1")):
+        at = last + 1 - len(word) - place
+        if kind is None:
+            places.setdefault(word, []).append(at)
+        elif at >= 0:
+            starts.append((at, kind, valid))
     found: list[tuple[int, int, str]] = []
-    for last, (size, kind, place, valid) in _automaton().iter(data.decode("latin-1")):
-        at = last + 1 - size - place
+    marks, reach = Marks(data, places), 0
+    for at, kind, valid in sorted(starts, key=lambda x: x[0]):
         # containers may hold embedded media; another medium inside a carved, embedded one is part of it
-        if at < 0 or any(0 < o <= at < o + n for o, n, _ in found):
-            continue
-        length = valid(data, at)
+        length = valid(data, at, marks) if at >= reach else None
         if length:
             found.append((at, length, kind))
-    return sorted(found)
+            reach = at + length if at else 0
+    return found
 
 
 PART = T.StructType([T.StructField("offset", T.LongType()), T.StructField("length", T.LongType()), T.StructField("type", T.StringType())])
 
 
+def verdict(data: bytes | None, declared: str | None) -> tuple[str | None, bool, bool, list[dict]]:
+    """type (corrected), confirmed, corrected, and the embedded parts of some bytes."""
+    parts = carve(data)
+    head = next((k for o, _, k in parts if o == 0), None)
+    kind = head or declared
+    return kind, head is not None, kind != declared, [{"offset": o, "length": n, "type": k} for o, n, k in parts if o]
+
+
+ADDED = ("type", "confirmed", "corrected", "parts")
+
+
 def sniff(rows: DataFrame, media: str = "media", declared: str = "declared") -> DataFrame:
     """rows with type (corrected), confirmed, corrected, and parts (offset, length, type) of embedded media."""
-    m, d = rows.columns.index(media), rows.columns.index(declared)
-    schema = T.StructType(
-        [
-            *rows.schema.fields,
-            T.StructField("type", T.StringType()),
-            T.StructField("confirmed", T.BooleanType()),
-            T.StructField("corrected", T.BooleanType()),
-            T.StructField("parts", T.ArrayType(PART)),
-        ]
-    )
+    others = [c for c in rows.columns if c not in ADDED]
+    kept = rows.select(*others, F.col(media).alias("__media"), F.col(declared).alias("__declared"))
+    kinds = (T.StringType(), T.BooleanType(), T.BooleanType(), T.ArrayType(PART))
+    schema = T.StructType([*kept.schema.fields[:-2], *(T.StructField(n, k) for n, k in zip(ADDED, kinds))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for data, said in zip(batch.column(m), batch.column(d)):
-                parts, said = carve(data.as_py()), said.as_py()
-                head = next((k for o, _, k in parts if o == 0), None)
-                kind = head or said
-                out.append((kind, head is not None, kind != said, [{"offset": o, "length": n, "type": k} for o, n, k in parts if o]))
-            columns = [pa.array([x[i] for x in out], f) for i, f in enumerate((pa.string(), pa.bool_(), pa.bool_()))]
+            out = [verdict(data.as_py(), said.as_py()) for data, said in zip(*batch.columns[-2:])]
             part = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns, pa.array([x[3] for x in out], part)], names=schema.names)
+            columns = [pa.array([x[i] for x in out], f) for i, f in enumerate((pa.string(), pa.bool_(), pa.bool_(), part))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *columns], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema)
 
 
 def wave(samples: bytes) -> bytes:
@@ -289,7 +331,7 @@ def store_texts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def media_digests(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Texts stored as media, sniffed and read back: sizes, digests and a feature string.
+    """Texts stored as a table of media, read back from it and sniffed: sizes, digests and a feature string.
 
     feature: type, whether the declared type was corrected, samples, their mean
     over 255, and the embedded media found.
@@ -311,14 +353,15 @@ def media_digests(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
         for batch in batches:
             out: list[tuple] = []
-            for data, kind, corrected, parts in zip(*(batch.column(i) for i in (2, 3, 4, 5))):
-                data, kind, parts = data.as_py(), kind.as_py(), parts.as_py()
+            for data, declared in zip(batch.column(2), batch.column(3)):
+                data = data.as_py()
+                kind, _, corrected, parts = verdict(data, declared.as_py())
                 if kind != "audio/wav":
                     raise ValueError(f"stored media read back as {kind}")
                 payload = samples_of(data)
                 mean = np.frombuffer(payload, np.uint8).mean() / 255
                 inside = ",".join(f"{p['type']}@{p['offset']}+{p['length']}" for p in parts) or "none"
-                feature = f"{kind};corrected={str(corrected.as_py()).lower()};samples={len(payload)};mean={mean:.6f};embedded={inside}"
+                feature = f"{kind};corrected={str(corrected).lower()};samples={len(payload)};mean={mean:.6f};embedded={inside}"
                 out.append(
                     (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), feature)
                 )
@@ -326,8 +369,9 @@ def media_digests(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             columns = [pa.array([x[i] for x in out], f) for i, f in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=schema.names)
 
-    found = sniff(store_texts(docs, key))
-    return found.select(key, "n_bytes", "media", "type", "corrected", "parts").mapInArrow(run, schema)
+    spark, folder = docs.sparkSession, work_path(docs.sparkSession, "media")
+    store_texts(docs, key).write.option("compression", "zstd").parquet(folder)
+    return spark.read.parquet(folder).select(key, "n_bytes", "media", "declared").mapInArrow(run, schema)
 
 
 def cut_parts(rows: DataFrame, media: str = "media", parts: str = "parts") -> DataFrame:

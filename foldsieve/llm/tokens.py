@@ -161,9 +161,8 @@ def balanced(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
     """Runs of texts of about BATCH_BYTES, with the place of the first."""
     first, run, held = 0, [], 0
     for i, text in enumerate(texts):
-        text = text.as_py() or ""
-        run.append(text)
-        held += len(text)
+        held += len(text.as_buffer()) if text.is_valid else 0
+        run.append(text.as_py() or "")
         if held >= BATCH_BYTES:
             yield first, run
             first, run, held = i + 1, [], 0

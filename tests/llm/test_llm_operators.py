@@ -162,7 +162,7 @@ def test_quality(docs, texts, empty, spark, prose):
     assert len(symbols) == 4 and not any(kept[k] for k in symbols)
     plain = [k for k, t in texts if 100 <= len(t.split()) <= 130 and "#" not in t]
     assert all(kept[k] for k in plain)
-    assert quality.quality_verdicts(empty).count() == 0
+    assert quality.quality_verdicts(empty).count() == 0 and quality.keep_good(empty).count() == 0
     good = quality.keep_good(docs)
     assert good.columns == docs.columns
     assert Counter(r.doc_id for r in good.collect()) == Counter(r.doc_id for r in rows if r.kept)
@@ -344,18 +344,50 @@ def test_token_files_are_read_by_column(docs, spark, tmp_path):
     assert tokens.read_token_files(spark, folder).count() == docs.count()
 
 
-def test_media(docs, texts, empty):
-    rows = media.media_digests(docs).collect()
-    assert len(rows) == len(texts)
+def test_media(docs, texts, empty, spark):
+    import io
+    import wave
+
+    pdf = "x" * 30 + "%PDF-1.4 some startxref 0 %%EOF and on"
+    frame = docs.unionByName(spark.createDataFrame([(900, pdf, "en", "s", 1, "r")], docs.schema))
+    rows = media.media_digests(frame).collect()
     want = Counter()
-    for k, t in texts:
+    for k, t in [*texts, (900, pdf)]:
         data = t.encode()
         data += b"\0" * (-len(data) % 64 if data else 64)
-        want[k, len(t.encode()), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:])] += 1
-    assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in rows) == want
+        file = io.BytesIO()
+        with wave.open(file, "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(1)
+            w.setframerate(8000)
+            w.writeframes(data)
+        stored = file.getvalue()
+        inside = f"application/pdf@{44 + 30}+{pdf.index('%%EOF') + 5 - 30}" if k == 900 else "none"
+        feature = f"audio/wav;corrected=true;samples={len(data)};mean={sum(data) / len(data) / 255:.6f};embedded={inside}"
+        row = (k, len(t.encode()), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature)
+        want[row] += 1
+    assert Counter(map(tuple, rows)) == want
     assert media.media_digests(empty).count() == 0
 
 
+@pytest.mark.parametrize("magic", [b"%PDF-", b"PK\3\4", b"GIF89a0000000,", b"RIFF0000WAVE", b"BM", b"%PDF-startxref", b"PK\5\6"])
+def test_carving_bytes_full_of_magic_numbers(magic):
+    import time
+
+    data = magic * (400_000 // len(magic))
+    began = time.perf_counter()
+    media.carve(data)
+    assert time.perf_counter() - began < 5
+
+
+def test_sniffing_rows_with_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, b"BM", "a/b", "old", [1])], "id int, media binary, declared string, type string, parts array<int>")
+    found = media.sniff(rows)
+    assert found.columns == ["id", "media", "declared", "type", "confirmed", "corrected", "parts"]
+    assert found.first().type == "a/b" and found.first().parts == []
+    assert media.sniff(rows.limit(0)).count() == 0
+
+
 def test_carving_and_types(spark):
     import gzip
     import io
@@ -406,6 +438,8 @@ def test_bagminhash_is_unbiased(prose):
 
     want = np.array([sum((bag(a) & bag(b)).values()) / sum((bag(a) | bag(b)).values()) for a, b in zip(left, right)])
     assert np.abs(shingles.overlaps(left, right) - want).max() < 1e-12
+    bags = shingles.Bags(left + right)
+    assert np.abs(bags.similarities(np.arange(60), np.arange(60, 120)) - want).max() < 1e-12
     a, b = bagminhash.signatures(left, 2048)[0], bagminhash.signatures(right, 2048)[0]
     assert abs(((a == b).mean(1) - want).mean()) < 0.006
     assert np.abs((a == b).mean(1) - want).max() < 0.06
@@ -450,13 +484,17 @@ def test_near_duplicates(docs, texts, empty, small, block, monkeypatch):
     if small == 16:
         kept = bagminhash.keep_one(docs)
         assert kept.columns == docs.columns and kept.count() == len(found and {r.class_tk for r in found})
-        assert bagminhash.near_duplicate_classes(empty).count() == 0
+        assert bagminhash.near_duplicate_classes(empty).count() == 0 and bagminhash.keep_one(empty).count() == 0
 
 
-def test_family_of_near_copies(spark, prose):
-    """Many copies edited apart: some pairs above, some under the threshold."""
+@pytest.mark.parametrize("small,block", [(16, 256), (1, 8), (89, 256), (90, 256)])
+def test_family_of_near_copies(spark, prose, small, block, monkeypatch):
+    """Many copies edited apart: some pairs above, some under the threshold; large and small buckets, at the border of both."""
     import random
 
+    monkeypatch.setattr(bagminhash, "SMALL", small)
+    monkeypatch.setattr(bagminhash, "BLOCK", block)
+
     rng, base_words, texts = random.Random(9), prose(50, 200).split(), []
     for i in range(90):
         words = list(base_words)
@@ -493,15 +531,44 @@ def brute_removal(texts, length=200):
         yield key, len(t), sum(covered), runs, hashlib.sha256(kept).hexdigest()
 
 
-@pytest.mark.parametrize("hot", [32768, 2])
-def test_suffix_removal(docs, texts, empty, hot, monkeypatch):
-    monkeypatch.setattr(suffixes, "HOT", hot)
+@pytest.mark.parametrize("block,family", [(1024, 8192), (2, 4), (1, 1)])
+def test_suffix_removal(docs, texts, empty, block, family, monkeypatch):
+    monkeypatch.setattr(suffixes, "BLOCK", block)
+    monkeypatch.setattr(suffixes, "FAMILY_ROWS", family)
     short = [(k, t.encode()) for k, t in texts if len(t) < 50000]
     frame = docs.where("text is null or length(text) < 50000")
     assert Counter(map(tuple, suffixes.removal_digests(frame).collect())) == Counter(brute_removal(short))
-    if hot == 32768:
+    if block == 1024:
         assert suffixes.removal_digests(docs).count() == len(texts)
         assert suffixes.removal_digests(empty).count() == 0
+        assert suffixes.remove_repeats(empty).count() == 0 and suffixes.remove_repeats(empty).columns == docs.columns
+
+
+@pytest.mark.parametrize("block", [256, 100000])
+def test_removal_around_a_hot_passage(spark, prose, block, monkeypatch):
+    """A passage in very many texts, cut off at either side in many ways; the same in one block and in many."""
+    monkeypatch.setattr(suffixes, "BLOCK", block)
+    monkeypatch.setattr(suffixes, "FAMILY_ROWS", 2 * block)
+    passage, rows = prose(600, 60)[:260], []
+    for i in range(1500):
+        begin, end = i % 61, 260 - i % 83
+        rows.append((i, f"{prose(7000 + i, 12)} {passage[begin:end]} {prose(17000 + i, 12)}"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = Counter(map(tuple, suffixes.removal_digests(frame).collect()))
+    assert found == Counter(brute_removal([(k, t.encode()) for k, t in rows]))
+    assert sum(n for (_, _, removed, *_), n in found.items() if removed) > 500
+
+
+def test_family_hits_equal_counts():
+    rng = np.random.default_rng(1)
+    family, batches = suffixes.IndexFamily(), [rng.integers(0, 3000, 500).astype(np.uint64) for _ in range(12)]
+    for keys in batches:
+        family.add(keys)
+    everything = np.concatenate(batches)
+    counts = Counter(everything.tolist())
+    assert family.hits().tolist() == [counts[k] > 1 for k in everything.tolist()]
+    sizes = [len(level) for level, _ in family.levels]
+    assert all(2 * b < a for a, b in zip(sizes, sizes[1:]))  # like-sized levels were merged
 
 
 def test_long_texts_are_cut_into_segments(prose, monkeypatch):
