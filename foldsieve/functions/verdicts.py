@@ -3,11 +3,15 @@
 A response is read by stages, each of which proposes (file, verdict) pairs in
 the order of the text. One rule set per mode:
 
-- "compat" keeps the behaviour users know, quirks included: the first stage
-  takes any name and its last word counts; later stages run while files are
-  missing, match names by substring, and look for an o before an x anywhere in
-  their part of the line, the file name included. Upper-case labels break the
-  first stage; the error is reported and no verdict is given.
+- "compat" keeps the behaviour users know, quirks included. Each stage is a row
+  of a table: a pattern that cuts a line into a text that should name a file and
+  one that should hold the verdict, and how the name is looked up. Its rules:
+  a verdict text reads O if it has an o in either case, else X if it has an x;
+  the first stage takes any name and its last word counts; later stages run
+  while files are missing and never overwrite; names are matched by substring,
+  the first of the batch that fits; only lower-case labels separate, with or
+  without a space before the colon. A line whose file label stands in another case cannot be read at all: the error is
+  reported and no verdict of the response is given.
 - "strict" takes only files of the batch, whole names, and a lone O or X.
 """
 
@@ -15,75 +19,85 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 from pyspark.sql import SparkSession
 
 Proposal = tuple[str, str]
 
+# The labels and file endings that the instruction asks responses for.
+VERDICT_LABEL, FILE_LABEL = r"judgment ?:", r"filename ?:"
+ENDINGS = r"\.(?:png|jpg|jpeg)"
 
-def _loose(text: str) -> str:
-    """O if an o occurs, else X if an x occurs, else nothing."""
-    lowered = text.lower()
-    return "O" if "o" in lowered else "X" if "x" in lowered else ""
 
+def _loose(text: str | None) -> str:
+    found = re.search("o", text or "", re.I) or re.search("x", text or "", re.I)
+    return found[0].upper() if found else ""
 
-def _inside(text: str, names: list[str]) -> str:
-    """The first name of the batch that the text contains."""
-    return next((n for n in names if n in text), "")
 
+def _held(text: str, names: list[str]) -> str:
+    """The first name that the text holds."""
+    return next(filter(text.__contains__, names), "")
 
-def _labelled(lines: list[str], names: list[str]) -> Iterator[Proposal]:
-    """filename: F judgment: J"""
-    for line in lines:
-        low = line.lower()
-        label = next((m for m in ("judgment:", "judgment :") if m in low), None)
-        if label is None:
-            continue
-        before, *after = (part.strip() for part in line.split(label))
-        tag = next((m for m in ("filename:", "filename :") if m in before.lower()), None)
-        # a label in another case is found but cannot be split at: IndexError, as known
-        name = before.split(tag)[1].strip() if tag else _inside(before, names)
-        yield name.strip("[]'\"\t "), _loose(after[0]) if after else ""
-
-
-def _colon(lines: list[str], names: list[str]) -> Iterator[Proposal]:
-    """F: J, names matched both ways"""
-    for line in lines:
-        if ":" in line and _loose(line):
-            left, right = (part.strip() for part in line.split(":")[:2])
-            yield next((n for n in names if n in left or left in n), ""), _loose(right)
 
+def _either(text: str, names: list[str]) -> str:
+    """The first name that the text holds, or that holds the text."""
+    return next((n for n in names if n in text or text in n), "")
 
-def _cells(lines: list[str], names: list[str]) -> Iterator[Proposal]:
-    """Table cells that hold a name"""
-    for line in lines:
-        if "|" in line:
-            for cell in filter(None, map(str.strip, line.split("|"))):
-                yield _inside(cell, names), _loose(cell)
 
+def _same(text: str, names: list[str]) -> str:
+    return text if text in names else ""
 
-def _listed(lines: list[str], names: list[str]) -> Iterator[Proposal]:
-    """A name with a verdict in its line or the next"""
-    for line, after in zip(lines, [*lines[1:], ""]):
-        if line.strip():
-            yield _inside(line, names), _loose(line) or _loose(after)
 
+_NAMED = re.compile(rf"(?:.*?{FILE_LABEL})(.*?)(?:{FILE_LABEL}.*)?$")
 
-def _context(lines: list[str], names: list[str]) -> Iterator[Proposal]:
-    """The first line that holds the name"""
-    for name in names:
-        yield name, _loose(next((line for line in lines if name in line), ""))
 
+def _after_label(text: str, names: list[str]) -> str:
+    """What follows the file label, whatever it is; without a label, a name that the text holds."""
+    named = _NAMED.match(text)
+    if not named and re.search(FILE_LABEL, text, re.I):
+        raise IndexError("a file label in another case")
+    return (named[1] if named else _held(text, names)).strip("[]'\"\t ")
+
+
+class Stage(NamedTuple):
+    """Groups "name" and "verdict" of every match in a line, or in a line and the next one (joined by a line break)."""
+
+    cut: re.Pattern
+    lookup: Callable[[str, list[str]], str]
+    lines: int = 1
+    #: Whether each name asks for its first line, instead of each line for its name.
+    by_name: bool = False
+
+
+COMPAT = [
+    # a line with both labels; a verdict label in another case separates nothing, so there is no verdict
+    Stage(re.compile(rf"^(?=.*(?i:{VERDICT_LABEL}))(?P<name>.*?)(?:{VERDICT_LABEL}(?P<verdict>.*?)(?:{VERDICT_LABEL}.*)?)?$"), _after_label),
+    # the two parts around a line's first colon; a second colon ends the verdict
+    Stage(re.compile(r"^\s*(?P<name>[^:]*?)\s*:(?P<verdict>[^:]*)"), _either),
+    # the cells of a table row, the name and the verdict in one cell
+    Stage(re.compile(r"(?:^(?=.*\|)|(?<=\|))(?=(?P<name>[^|]+))(?P<verdict>[^|]+)"), _held),
+    # a line with a name, the verdict there or else in the next line
+    Stage(re.compile(r"^(?P<name>.*)\n(?P<next>.*)$"), _held, 2),
+    # the first line that holds a name: later ones do not count
+    Stage(re.compile(r"^(?P<name>(?P<verdict>.*))$"), _held, by_name=True),
+    # nothing but a name and a letter
+    Stage(re.compile(rf"^\s*(?P<name>[^:]*{ENDINGS})\s*:\s*(?P<verdict>[oOxX])\s*$"), _same),
+]
 
-def _exact(lines: list[str], names: list[str]) -> Iterator[Proposal]:
-    """Only F: O or F: X"""
-    for line in lines:
-        parts = [p.strip() for p in line.split(":")]
-        if len(parts) == 2 and parts[0] in names and parts[0].endswith((".png", ".jpg", ".jpeg")) and parts[1].upper() in ("O", "X"):
-            yield parts[0], parts[1].upper()
 
+def _proposals(stage: Stage, lines: list[str], names: list[str]) -> Iterator[Proposal]:
+    if stage.by_name:
+        for name in names:
+            yield name, _loose(next((line for line in lines if name in line), ""))
+        return
+    for at, line in enumerate(lines):
+        text = "\n".join([line, *lines[at + 1 : at + 2]] + [""] * (at + 1 == len(lines))) if stage.lines == 2 else line
+        for found in stage.cut.finditer(text):
+            parts = found.groupdict()
+            verdict = _loose(parts["verdict"]) if "verdict" in parts else _loose(parts["name"]) or _loose(parts["next"])
+            yield stage.lookup(parts["name"], names), verdict
 
-COMPAT: list[Callable[[list[str], list[str]], Iterator[Proposal]]] = [_labelled, _colon, _cells, _listed, _context, _exact]
 
 _STRICT_LABELLED = re.compile(r"^\W*filename\s*:\s*(?P<name>.+?)\s*judgment\s*:\s*(?P<verdict>.+?)\s*$", re.I)
 _BARE = "[]'\"`*\t ."
@@ -121,7 +135,7 @@ def parse_response(text: str | None, files: list[str], mode: str = "compat") ->
     for number, stage in enumerate(COMPAT, 1):
         if number > 1 and len(found) >= len(names):
             break
-        for name, verdict in stage(lines, names):
+        for name, verdict in _proposals(stage, lines, names):
             if name and verdict and (number == 1 or name not in found):
                 found[name] = (verdict, number)
     return found
@@ -132,7 +146,7 @@ class ParseVerdicts:
 
     def eval(self, text: str, files: list[str], mode: str):
         try:
-            for name, (verdict, stage) in parse_response(text, list(files or []), mode or "compat").items():
+            for name, (verdict, stage) in parse_response(text, [] if files is None else list(files), mode or "compat").items():
                 yield name, verdict, stage, None
         except IndexError as e:
             yield None, None, None, f"IndexError: {e}"
@@ -145,4 +159,4 @@ def register(spark: SparkSession, name: str = "parse_verdicts") -> None:
     """Make the table function callable as name(text, files, mode) in SQL."""
     from pyspark.sql.functions import udtf
 
-    spark.udtf.register(name, udtf(ParseVerdicts, returnType=RETURNS))
+    spark.udtf.register(name, udtf(ParseVerdicts, returnType=RETURNS, useArrow=True))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -10,32 +11,53 @@ from pyspark.sql import functions as F
 from foldsieve.operators.components import connected_components
 from foldsieve.session import work_table
 
-BANDS, BAND_BITS = 4, 16
+BITS = 64
 
 
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)).cast("int")
 
 
-def _masks(radius: int) -> list[int]:
+def _masks(width: int, radius: int) -> list[int]:
     """All band values within a distance of 0."""
-    return [sum(1 << bit for bit in bits) for r in range(radius + 1) for bits in combinations(range(BAND_BITS), r)]
+    return [sum(1 << bit for bit in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
+
+
+def bands_for(most: int, hashes: int) -> list[tuple[int, int]]:
+    """(shift, width) of the bands that make the fewest probes and candidates for so many hashes; any choice finds all pairs."""
+
+    def layout(n: int) -> list[tuple[int, int]]:
+        cuts = [BITS * i // n for i in range(n + 1)]
+        return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+    def cost(bands: list[tuple[int, int]]) -> float:
+        probes = [sum(math.comb(w, r) for r in range(min(most // len(bands), w) + 1)) for _, w in bands]
+        return sum(p * (1 + hashes / 2**w) for p, (_, w) in zip(probes, bands))
+
+    return min((layout(n) for n in range(2, 17)), key=cost)
 
 
 def hamming_pairs(rows: DataFrame, most: int, key: str = "id", value: str = "hash") -> DataFrame:
     """a, b, dist of all pairs of keys a < b whose hashes differ in at most `most` bits.
 
-    Multi-index hashing: of four 16-bit bands one at least differs by most // 4
-    bits or fewer. Distinct hashes, not rows, are joined on bands: one side keeps
-    its band, the other spreads over the band's neighbours; distances are
-    verified. Rows of equal hashes are joined back at the end, through their
+    Multi-index hashing: of n bands one at least differs by most // n bits or
+    fewer; the number of distinct hashes tells how many bands are cheapest.
+    Distinct hashes, not rows, are joined on bands: one side keeps its band, the
+    other spreads over the band's neighbours; distances are verified. Rows of equal hashes are joined back at the end, through their
     hash, so copies cost no band probes.
     """
-    masks = F.array(*[F.lit(m) for m in _masks(most // BANDS)])
-    distinct = rows.select(F.col(value).alias("h")).where("h is not null").distinct()
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("h", BAND_BITS * i).bitwiseAND(F.lit(0xFFFF)).alias("part")) for i in range(BANDS)])
+    distinct = work_table(rows.select(F.col(value).alias("h")).where("h is not null").distinct(), "hashes")
+    chosen = bands_for(most, distinct.count())
+
+    def part(i: int):
+        shift, width = chosen[i]
+        return F.shiftrightunsigned("h", shift).bitwiseAND(F.lit((1 << width) - 1))
+
+    bands = F.array(*[F.struct(F.lit(i).alias("band"), part(i).alias("part")) for i in range(len(chosen))])
     banded = distinct.select("h", F.explode(bands).alias("x")).select("h", "x.band", "x.part")
-    probes = banded.select(F.col("h").alias("g"), "band", F.explode(F.transform(masks, lambda m: F.col("part").bitwiseXOR(m))).alias("part"))
+    masks = {w: F.array(*[F.lit(m).cast("long") for m in _masks(w, most // len(chosen))]) for _, w in chosen}
+    by_band = F.element_at(F.array(*[masks[w] for _, w in chosen]), F.col("band") + 1)
+    probes = banded.select(F.col("h").alias("g"), "band", F.explode(F.transform(by_band, lambda m: F.col("part").bitwiseXOR(m))).alias("part"))
     near = probes.join(banded, ["band", "part"]).where((F.col("g") < F.col("h")) & (hamming(F.col("g"), F.col("h")) <= most))
     pairs = near.select("g", "h").distinct().unionByName(distinct.select(F.col("h").alias("g"), "h"))
     left = rows.select(F.col(key).alias("x"), F.col(value).alias("g"))
@@ -64,13 +86,25 @@ def cluster(rows: DataFrame, edges: DataFrame, most: int, key: str = "id") -> Da
 
 
 def threshold_sweep(rows: DataFrame, thresholds: tuple[int, ...], key: str = "id", value: str = "hash", y: str = "y") -> DataFrame:
-    """threshold, clusters, with_pos, with_neg, mixed; one edge table at the largest threshold serves all."""
+    """threshold, clusters, with_pos, with_neg, mixed.
+
+    One edge table at the largest threshold serves all. Thresholds rise, and each
+    one's clusters are the nodes of the next: only edges between them are left.
+    """
     from foldsieve.operators.splits import cluster_stats
 
     edges = work_table(hash_edges(rows, max(thresholds), key, value), "edges")
     parts = []
-    for t in thresholds:
-        stats = cluster_stats(cluster(rows, edges, t, key).join(rows.select(key, y), key), "cluster", y)
+    now = rows.select(key, y, F.col(key).alias("cluster"))
+    for t in sorted(thresholds):
+        found = connected_components(edges.where(F.col("dist") <= t), "a", "b")
+        now = now.join(found, F.col("cluster") == F.col("node"), "left").select(key, y, F.coalesce("component", "cluster").alias("cluster"))
+        now = work_table(now, "clusters")
+        one, two = (found.select(F.col("node").alias(f"n{e}"), F.col("component").alias(f"c{e}")) for e in "ab")
+        merged = edges.join(one, F.col("a") == F.col("na"), "left").join(two, F.col("b") == F.col("nb"), "left")
+        merged = merged.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"), "dist").where("a <> b")
+        edges = work_table(merged.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("dist").alias("dist")), "edges")
+        stats = cluster_stats(now, "cluster", y)
         parts.append(
             stats.agg(
                 F.lit(t).alias("threshold"),

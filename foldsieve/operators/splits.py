@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEED, FOLDS = 42, 5
+#: Hex digits of the shuffle key by which rows are counted before they are numbered.
+PREFIX = 3
 
 
 def majority_label(y: str = "y") -> Column:
@@ -62,10 +64,31 @@ def shuffle_key(key: str, seed: int = SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
+def numbered(rows: DataFrame, by: str, lead: list[Column], key: str, seed: int, name: str) -> DataFrame:
+    """rows with name: their number from 0 within by, ordered by lead, then in the shuffle order of key.
+
+    Counts by a prefix of the shuffle key give each prefix its first number, and
+    rows are numbered inside their prefix only, so a class that holds half of
+    all rows is not sorted in one task.
+    """
+    leads = {f"__lead{i}": c for i, c in enumerate(lead)}
+    turned = rows.withColumns({"__turn": shuffle_key(key, seed), **leads}).withColumn("__prefix", F.substring("__turn", 1, PREFIX))
+    slot = [by, *leads, "__prefix"]
+    before = Window.partitionBy(by).orderBy(*leads, "__prefix").rowsBetween(Window.unboundedPreceding, -1)
+    starts = turned.groupBy(*slot).agg(F.count("*").alias("n")).withColumn("__start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    starts = starts.select(*[F.col(c).alias(f"_{c}") for c in slot], "__start")
+    inside = F.row_number().over(Window.partitionBy(*slot).orderBy("__turn", key)) - 1
+    same = F.lit(True)
+    for c in slot:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    joined = turned.withColumn("__inside", inside).join(starts, same)
+    return joined.select(*rows.columns, (F.col("__start") + F.col("__inside")).alias(name))
+
+
 def stratified_folds(rows: DataFrame, key: str, y: str = "y", folds: int = FOLDS, seed: int = SEED) -> DataFrame:
     """rows with fold; every class is spread so that its fold sizes differ by one at most."""
-    order = Window.partitionBy(y).orderBy(shuffle_key(key, seed), key)
-    return rows.withColumn("fold", ((F.row_number().over(order) - 1) % folds).cast("int"))
+    placed = numbered(rows, y, [], key, seed, "__place")
+    return placed.withColumn("fold", (F.col("__place") % folds).cast("int")).drop("__place")
 
 
 def group_folds(stats: DataFrame, cluster: str = "cluster", folds: int = FOLDS, seed: int = SEED) -> DataFrame:
@@ -73,10 +96,10 @@ def group_folds(stats: DataFrame, cluster: str = "cluster", folds: int = FOLDS,
 
     One row per cluster. No cluster spans folds, sizes and classes stay near even.
     """
-    order = Window.partitionBy("majority").orderBy(F.col("size").desc(), shuffle_key(cluster, seed), F.col(cluster))
-    place = F.row_number().over(order) - 1
+    placed = numbered(stats, "majority", [-F.col("size")], cluster, seed, "__place")
+    place = F.col("__place")
     lap, step = F.floor(place / folds), place % folds
-    return stats.select(cluster, F.when(lap % 2 == 0, step).otherwise(folds - 1 - step).cast("int").alias("fold"))
+    return placed.select(cluster, F.when(lap % 2 == 0, step).otherwise(folds - 1 - step).cast("int").alias("fold"))
 
 
 def batches(rows: DataFrame, order: str, size: int) -> DataFrame:

@@ -169,8 +169,9 @@ HASHED = (
     + f""",
 words AS (SELECT id, string_split(lower(text), ' ') AS w FROM samples),
 grams AS (
-  SELECT id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g
-  FROM words WHERE len(w) >= 3
+  SELECT id, unnest(CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+                    ELSE [array_to_string(w, ' ')] END) AS g
+  FROM words
 ), shingles AS (SELECT id, ('0x' || substr(md5(g), 1, 16))::UBIGINT AS h FROM grams
 ), sums AS (SELECT id, {_BITS} FROM shingles GROUP BY id
 ), hashes AS (SELECT id, ({_HASH})::BIT AS hash FROM sums

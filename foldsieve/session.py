@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 import zipfile
@@ -49,11 +50,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a fresh temporary one only where it is unset."""
+    """The folder named by spark.checkpoint.dir; a fresh temporary one only where it is unset and the master is local."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_foldsieve_folder", None)
     if not folder:
-        # no cluster names one: a local session, as in tests
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = context._foldsieve_folder = "file://" + tempfile.mkdtemp(prefix="foldsieve-")
     return folder.rstrip("/")
 
