@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than ASCII white space.
@@ -33,3 +33,12 @@ def text_words(text: Column) -> tuple[Column, Column]:
 def digest_words(texts: list[bytes]) -> np.ndarray:
     """The same of many texts: an n x 2 array."""
     return np.frombuffer(b"".join(hashlib.sha256(t).digest()[:16] for t in texts), ">i8").astype(np.int64).reshape(-1, 2)
+
+
+#: Rows of a table that is sent to every executor at most; with some 200 bytes a row, 13 MB.
+BROADCAST_ROWS = 1 << 16
+
+
+def bounded(table: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if its rows were counted and are few; else Spark chooses, and splits hot keys."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table

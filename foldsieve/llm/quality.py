@@ -42,7 +42,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldsieve.llm.common import WORD, n_words
+from foldsieve.llm.common import WORD, bounded, n_words
 from foldsieve.session import work_table
 
 SYMBOLS = "#*$%&|<>"
@@ -173,7 +173,7 @@ def _centres(rows: DataFrame) -> DataFrame:
         return work_table(found, f"mcd-{name}")
 
     middle = median(long, F.col("x"), "middle")
-    spread = median(long.join(middle, ["node", "j"]), F.abs(F.col("x") - F.col("middle")), "spread")
+    spread = median(long.join(bounded(middle), ["node", "j"]), F.abs(F.col("x") - F.col("middle")), "spread")
     columns = []
     for j, floor in enumerate(FLOORS):
         columns.append(F.max(F.when(F.col("j") == j, F.col("middle"))).alias(f"m{j}"))
@@ -254,17 +254,17 @@ def estimates(rows: DataFrame) -> DataFrame:
     for s in scaled:
         sum_of_squares = sum_of_squares + s * s
     starts = F.array(F.struct(F.lit(0).alias("start"), sum_of_squares.alias("d")), F.struct(F.lit(1).alias("start"), (largest * largest).alias("d")))
-    now = spread.join(centres, "node").withColumn("s", F.explode(starts)).withColumns({"start": F.col("s.start"), "bin": _bin(F.col("s.d"))})
+    now = spread.join(bounded(centres), "node").withColumn("s", F.explode(starts)).withColumns({"start": F.col("s.start"), "bin": _bin(F.col("s.d"))})
     names = [f"m{j}" for j in P] + [f"v{j}{k}" for j, k in LOWER]
     factor = [f"l{j}{k}" for j, k in LOWER]
     for step in range(STEPS):
-        # tables of a row per node and start: their sizes are known, and Spark chooses how to join a hot node
+        # tables of a row per node and start
         own = work_table(_moments(_binned(now)), f"mcd-moments{step}")
         params = work_table(_factors(_shrunk(own, names, ["start"])).select("level", "node", "parent", "start", "rows", "log_det", *[f"m{j}" for j in P], *factor), f"mcd-step{step}")
-        now = spread.join(params.drop("level", "parent", "rows", "log_det"), "node").withColumn("bin", _bin(_distance()))
+        now = spread.join(bounded(params).drop("level", "parent", "rows", "log_det"), "node").withColumn("bin", _bin(_distance()))
     best = params.groupBy("node").agg(F.min_by("start", F.struct("log_det", "start")).alias("start"))
     params = work_table(params.join(best, ["node", "start"]), "mcd-best")
-    now = spread.join(params.select("node", *[f"m{j}" for j in P], *factor), "node").withColumn("bin", _bin(_distance()))
+    now = spread.join(bounded(params).select("node", *[f"m{j}" for j in P], *factor), "node").withColumn("bin", _bin(_distance()))
     middle = _upto(now.groupBy("node", "bin").agg(F.count("*").alias("n")), ["node"], 0.5).groupBy("node").agg(F.max("bin").alias("middle"))
     # half a bin beyond the median's lower edge
     scale = ((F.col("middle") + 0.5) / DISTANCE_BINS - F.log(F.lit(CHI_MEDIAN))).alias("log_scale")
@@ -277,7 +277,7 @@ def judged(stats: DataFrame) -> DataFrame:
     rows = work_table(_vector(stats), "quality")
     found = work_table(estimates(rows.where(~F.col("base_failed"))).where("level = 2").drop("level", "rows", "log_det"), "mcd-estimates")
     distance = _distance() / F.exp(F.greatest(F.col("log_scale"), F.lit(0.0)))
-    out = rows.join(found, _own_node() == F.col("node"), "left").withColumn("distance", distance)
+    out = rows.join(bounded(found), _own_node() == F.col("node"), "left").withColumn("distance", distance)
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(True)))
 
 
