@@ -51,3 +51,8 @@ def missing_names(names: Column, verdicts: Column) -> Column:
 def is_complete(response: Column, names: Column) -> Column:
     """Whether a response mentions every name."""
     return F.forall(names, lambda n: F.contains(response, n))
+
+
+def base64_line(content: Column) -> Column:
+    """Base64 without the line breaks that some versions put in."""
+    return F.translate(F.base64(content), "\r\n", "")

@@ -28,7 +28,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from foldsieve.plans import learned, media, reports, texts  # noqa: F401  each registers its own
+    from foldsieve.plans import learned, media, reports, storage, texts  # noqa: F401  each registers its own
 
     return dict(QUERIES)
 
@@ -325,6 +325,20 @@ def prompt_grid(spark, sf_dir):
     return rounded(_grid(spark, sf_dir).select("backbone", "prompt_set", "acc_mean", "f1_mean"), "acc_mean", "f1_mean")
 
 
+@query(
+    "WITH" + S.PROMPTS + ", zs AS (SELECT vec_id, vec_id % 5 AS fold, y, max((p_pos >= 0.5)::INT) FILTER (WHERE backbone = 'base') AS base, "
+    "max((p_pos >= 0.5)::INT) FILTER (WHERE backbone = 'large') AS large FROM scored WHERE prompt_set = 'set0' GROUP BY ALL), "
+    "flat AS (SELECT m AS method, vec_id, fold, y, CASE m WHEN 'base' THEN base WHEN 'large' THEN large WHEN 'either' THEN greatest(base, large) ELSE least(base, large) END AS pred "
+    "FROM zs, (SELECT unnest(['base', 'large', 'either', 'both']) AS m))" + S.metrics_sql("flat", "method") + f" SELECT method, {MACRO_SQL} FROM macro"
+)
+def backbone_comparison(spark, sf_dir):
+    """Two backbones under one prompt set, alone and joined."""
+    rows = _zero_shot(spark, sf_dir).where("prompt_set = 'set0'").withColumn("fold", F.col("vec_id") % 5)
+    wide = rows.groupBy("vec_id", "fold", "y").pivot("backbone", ["base", "large"]).agg(F.max("pred"))
+    kinds = {"base": F.col("base"), "large": F.col("large"), "either": F.greatest("base", "large"), "both": F.least("base", "large")}
+    return rounded(metrics.evaluate(ensembles.long_predictions(wide, kinds, "fold", "y"), "method"), *MACRO)
+
+
 @query(
     "WITH" + GRID + " SELECT split_part(method, '/', 1) AS backbone, "
     + ", ".join(f"round({f}({m}_mean), 5) AS {m}_{n}" for m in ("acc", "f1") for f, n in (("avg", "mean"), ("min", "min"), ("max", "max"), ("stddev_pop", "std")))

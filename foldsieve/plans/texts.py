@@ -74,3 +74,19 @@ def path_functions(spark, sf_dir):
     rows = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("s3/x/a"), F.col("doc_id").cast("string"), end).alias("path"))
     path = F.col("path")
     return rows.select("doc_id", scalar.basename(path).alias("name"), scalar.media_type(path).alias("media"), scalar.has_image_suffix(path).alias("is_image"))
+
+
+@query(
+    "SELECT doc_id, unnest(CASE doc_id % 3 WHEN 0 THEN ['5.png'] WHEN 1 THEN ['p1.png', 'p2.png'] ELSE ['1.png', '11.png'] END) AS filename, "
+    "CASE WHEN doc_id % 2 = 0 THEN 'O' ELSE 'X' END AS judgment, unnest(CASE doc_id % 3 WHEN 0 THEN [3] WHEN 1 THEN [4, 5] ELSE [2, 6] END)::INT AS stage FROM documents"
+)
+def parse_later_stages(spark, sf_dir):
+    """Responses that only the later stages read: a cell with name and verdict, two names in a line, a name inside another."""
+    verdicts.register(spark)
+    verdict = F.when(F.col("doc_id") % 2 == 0, "O").otherwise("X")
+    shape = F.col("doc_id") % 3
+    text = F.when(shape == 0, F.concat(F.lit("| 5.png "), verdict, F.lit(" |"))).when(shape == 1, F.concat(F.lit("p1.png, p2.png "), verdict))
+    text = text.otherwise(F.concat(F.lit("11.png?\n\n11.png: "), verdict))
+    files = F.when(shape == 0, F.array(F.lit("5.png"))).when(shape == 1, F.array(F.lit("p1.png"), F.lit("p2.png"))).otherwise(F.array(F.lit("1.png"), F.lit("11.png")))
+    read(spark, sf_dir, "documents").select("doc_id", text.alias("text"), files.alias("files")).createOrReplaceTempView("foldsieve_later")
+    return spark.sql("SELECT r.doc_id, t.filename, t.judgment, t.stage FROM foldsieve_later r, LATERAL parse_verdicts(r.text, r.files, 'compat') t")

@@ -25,7 +25,7 @@ def labelled_images(spark: SparkSession, roots: dict[str, int]) -> DataFrame:
 
 
 def with_base64(files: DataFrame) -> DataFrame:
-    return files.withColumn("base64", F.base64("content"))
+    return files.withColumn("base64", scalar.base64_line(F.col("content")))
 
 
 def file_metadata(spark: SparkSession, folder: str) -> DataFrame:
