@@ -95,7 +95,7 @@ class RowRange(InputPartition):
 class MatrixReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.name = options["path"], options.get("array")
-        self.step = int(options.get("rowsPerPartition", ROWS_PER_PARTITION))
+        self.step = int(options.get("rowsperpartition", ROWS_PER_PARTITION))
 
     def partitions(self) -> list[InputPartition]:
         found, first = [], 0
@@ -168,7 +168,7 @@ class MatrixSource(DataSource):
         return f"row_idx bigint, vec array<{'string' if kind in 'US' else 'double'}>"
 
     def reader(self, schema) -> DataSourceReader:
-        return MatrixReader(dict(self.options))
+        return MatrixReader({k.lower(): v for k, v in self.options.items()})
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         return MatrixWriter(dict(self.options))

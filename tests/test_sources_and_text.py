@@ -135,3 +135,76 @@ def test_inner_retry_returns_the_last_response():
 
     response, calls, error = collect.ask_until_complete(Partial(), ["a.png", "b.png"], [b"", b""], wait=0)
     assert (response, calls, error) == ("filename: a.png judgment: O", 9, "")
+
+
+def test_providers_build_their_requests(monkeypatch):
+    from foldsieve.streaming import providers as P
+
+    monkeypatch.setenv("SOME_KEY", "secret")
+    sent = []
+    answers = {
+        P.ChatProvider: {"choices": [{"message": {"content": "yes"}}]},
+        P.MessagesProvider: {"content": [{"type": "text", "text": "yes"}]},
+        P.ContentsProvider: {"candidates": [{"content": {"parts": [{"text": "yes"}]}}]},
+    }
+    for kind, answer in answers.items():
+
+        def transport(url, headers, body, answer=answer):
+            sent.append((url, headers, body))
+            return answer
+
+        config = P.Config(kind.__name__, "http://models.example/x", "m", "SOME_KEY")
+        assert kind(config, transport).ask("look", ["a.png", "b.jpg"], [b"1", b"2"]) == "yes"
+    chat, messages, contents = (body for *_, body in sent)
+    assert [m["role"] for m in chat["messages"]] == ["system", "user", "user"] and "data:image/jpeg;base64,MQ==" in str(chat)
+    assert [p["source"]["media_type"] for p in messages["messages"][0]["content"][:2]] == ["image/png", "image/jpeg"] and messages["max_tokens"] == 1000
+    assert contents["contents"][0]["parts"][0] == {"text": "look"} and len(contents["contents"][0]["parts"]) == 3
+    assert all("secret" in str(headers) for _, headers, _ in sent)
+    monkeypatch.delenv("SOME_KEY")
+    with pytest.raises(RuntimeError):
+        P.ChatProvider(P.Config("a", "http://models.example/x", "m", "SOME_KEY"), transport).ask("", [], [])
+
+
+def test_encoders(spark):
+    from foldsieve.operators import encoders
+
+    rows = spark.createDataFrame([(i, f"word{i % 3} and more" if i else None) for i in range(70)], "id int, text string")
+    found = {r.id: r.vec for r in encoders.with_vectors(rows, "text", lambda: encoders.HashedWords(16)).collect()}
+    assert len(found) == 70 and found[0] == [0.0] * 16 and found[1] == found[4] != found[2] and all(len(v) == 16 for v in found.values())
+    protos = encoders.prompt_prototypes(spark, {"s": {0: ["bad noise"], 1: ["good prose", "an article"]}}, {"b": lambda: encoders.HashedWords(16)})
+    lengths = [sum(x * x for x in r.vec) for r in protos.collect()]
+    assert len(lengths) == 2 and lengths == pytest.approx([1, 1])
+
+
+def test_matrix_writer_and_archives(spark, tmp_path):
+    matrices.register(spark)
+    rows = spark.range(10).selectExpr("id AS row_idx", "array(CAST(id AS DOUBLE), 1D) AS vec").coalesce(1)
+    for options in ({}, {"array": "e"}):
+        path = str(tmp_path / f"m{len(options)}")
+        rows.repartitionByRange(3, "row_idx").sortWithinPartitions("row_idx").write.format("foldsieve_npy").mode("append").options(path=path, **options).save()
+        back = spark.read.format("foldsieve_npy").options(path=path, rowsPerPartition=2, **options).load()
+        assert sorted(map(tuple, back.collect())) == [(i, [float(i), 1.0]) for i in range(10)]
+    np.savez(tmp_path / "plain.npz", a=np.zeros((2, 2)), b=np.arange(12.0).reshape(6, 2))
+    plain = spark.read.format("foldsieve_npy").options(path=str(tmp_path / "plain.npz"), array="b", rowsPerPartition=2).load()
+    assert plain.rdd.getNumPartitions() == 3 and [r.vec[0] for r in plain.orderBy("row_idx").collect()] == [0, 2, 4, 6, 8, 10]
+
+
+def test_neighbours_equal_brute_force(spark, monkeypatch):
+    from foldsieve.operators import knn, simjoin
+
+    monkeypatch.setattr(knn, "BLOCK", 40)
+    monkeypatch.setattr(knn, "PART", 7)
+    rng = np.random.default_rng(2)
+    rows = [(i, int(h) - 2**63, i % 2, int(rng.integers(4)), i) for i, h in enumerate(rng.integers(0, 2**64, 60, dtype=np.uint64).repeat(3)[:170])]
+    frame = spark.createDataFrame(rows, "id long, hash long, y int, fold int, row_idx long")
+    found = {r.id: r.pred for r in knn.knn_predictions(frame).collect()}
+
+    def dist(a, b):
+        return ((a ^ b) & (2**64 - 1)).bit_count()
+
+    for i, h, _, fold, _ in rows:
+        near = sorted((dist(h, g), o, y) for _, g, y, f, o in rows if f != fold)[:3]
+        assert found[i] == int(sum(y for *_, y in near) / 3 > 0.5)
+    for most in (0, 9, 20):
+        pairs = {(r.a, r.b, r.dist) for r in simjoin.hamming_pairs(frame, most).collect()}
+        assert pairs == {(i, j, dist(g, h)) for i, g, *_ in rows for j, h, *_ in rows if i < j and dist(g, h) <= most}
