@@ -638,25 +638,76 @@ def test_style_tree_importance(spark):
     assert (1, None) in entries and (1, 7) in entries and (3, 9) in entries and not {p for p, _ in entries} & {2}
 
 
-def test_pipeline(spark, docs, tmp_path):
+def test_style_tree_equals_brute_force(spark):
+    rng = np.random.default_rng(6)
+    nodes = []
+    for host, pages in (("a", 40), ("b", 9), ("c", 3)):
+        for page in range(pages):
+            for path in range(8):
+                if rng.random() < 0.8:
+                    texts = {int(rng.integers(1 + 3 * path)) for _ in range(1 + path % 3)}
+                    nodes += [(host, path, 2, 0), (host, path, 0, int(rng.integers(1 + path % 4)))] + [(host, path, 1, t) for t in texts]
+    found = {r.host: {(e.path, e.value) for e in r.entries} for r in html.low_branches(spark.createDataFrame(nodes, "host string, path long, kind int, value long")).collect()}
+    counts = defaultdict(Counter)
+    for host, path, kind, value in nodes:
+        counts[host, path, kind][value] += 1
+
+    def entropy(c):
+        total = sum(c.values())
+        return -sum(n / total * np.log(n / total) for n in c.values()) / np.log(total) if total > 1 else 1.0
+
+    want = defaultdict(set)
+    for host, path in {(h, p) for h, p, _, _ in nodes}:
+        shapes, words, pages = (counts[host, path, kind] for kind in (0, 1, 2))
+        weight = html.DECAY ** len(shapes)
+        if pages.total() >= html.LEAST_PAGES:
+            if (1 - weight) * entropy(shapes) + weight * entropy(words) < html.LOW_IMPORTANCE:
+                want[host].add((path, None))
+            want[host] |= {(path, value) for value, n in words.items() if n > html.SHARE * pages.total()}
+    assert found == {h: v for h, v in want.items() if v} and len(found) >= 2
+
+
+def test_pipeline(spark, docs, empty, tmp_path):
+    """Every stage's rows and texts, and the ids, against brute force; the quality verdicts have a test of their own."""
+    import sentencepiece
+
     import corpus_pipeline
 
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     step = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        before, step = step, stage(spark, step, str(tmp_path))
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
+        step = stage(spark, step, str(tmp_path))
         assert step.columns == docs.columns, name
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert all(r.n_tokens == len(r.ids) for r in rows)
-    # brute force: base rule and symbols, one of each class, repeated strings out
-    kept = [(r.doc_id, r.text) for r in quality.keep_good(docs).collect()]
-    classes, first = brute_classes(kept), {}
-    for (k, t), c in zip(kept, classes):
-        first[c] = min(first.get(c, (k, t)), (k, t), key=lambda x: (x[0] is not None, x[0] or 0))
-    left = {k for k, *_ in first.values()}
-    assert {r.doc_id for r in rows} <= left
-    assert max(Counter((r.doc_id, r.text) for r in rows).values()) <= 2
-    assert before.count() >= 1
+    kept = [(r.doc_id, r.text, r.source) for r in quality.keep_good(docs).collect()]
+    first: dict = {}
+    for (k, t, source), c in zip(kept, brute_classes([(k, t) for k, t, _ in kept])):
+        digest = tuple(int.from_bytes(hashlib.sha256(t.encode()).digest()[i : i + 8], "big", signed=True) for i in (0, 8))
+        mine = ((k is not None, k or 0, digest), k, t, source)
+        first[c] = min(first.get(c, mine), mine, key=lambda x: x[0])
+    one = [(k, t.encode(), source) for _, k, t, source in first.values()]
+    starts = Counter(t[i : i + 200] for _, t, _ in one for i in range(len(t) - 199))
+    left = []
+    for k, t, source in one:
+        covered = bytearray(len(t))
+        for i in range(len(t) - 199):
+            if starts[t[i : i + 200]] > 1:
+                covered[i : i + 200] = b"\1" * 200
+        text, at = t.decode(), 0
+        out = ""
+        for c in text:  # a character goes if all its bytes are covered
+            size = len(c.encode())
+            out += "" if all(covered[at : at + size]) else c
+            at += size
+        if out.split():
+            left.append((k, source, out))
+    assert len(left) < len(kept) < docs.count() and sum(len(t) for *_, t in left) < sum(len(t) for _, t, _ in one)
+    *_, admitted = brute_mix(left, None)
+    library = sentencepiece.SentencePieceProcessor(model_file=tokens.vocabulary_path(sentencepieces.MODEL))
+    want = Counter((left[i][0], left[i][1], left[i][2], tuple(library.encode(left[i][2]))) for i, _ in admitted)
+    assert Counter((r.doc_id, r.source, r.text, tuple(r.ids)) for r in rows) == want
+    assert all(r.n_tokens == len(r.ids) and r.n_chars == len(r.text) for r in rows)
 
 
 def test_queries_are_registered(spark):
