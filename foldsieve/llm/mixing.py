@@ -35,7 +35,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldsieve.llm.common import n_words
+from foldsieve.llm.common import BROADCAST_ROWS, bounded, n_words
 from foldsieve.session import work_table
 
 WEIGHTS = (5, 2, 1)
@@ -43,8 +43,8 @@ SHARE = 1.5
 MOST = 2
 #: Words of a packet at most.
 PACKET = 256
-#: Rows of a bucket of the queue, on average; a bucket is a prefix of the shuffle hash, of 3 hex digits at least.
-BUCKET_ROWS, LEAST_DIGITS = 4096, 3
+#: Rows of a bucket of the queue, on average; a bucket is a prefix of the shuffle hash.
+BUCKET_ROWS = 4096
 #: Slices of virtual time: of the stream's end when it is cut, and of the mix when rows are laid out.
 SLICES = 4096
 
@@ -86,11 +86,10 @@ def queue_key(key: Column, text: Column) -> Column:
     return F.md5(F.concat(F.lit("mix:"), F.coalesce(key.cast("string"), F.lit("null")), F.lit(":"), digest))
 
 
-def _bucketed(sized: DataFrame, name: str) -> tuple[DataFrame, Column]:
-    """sized as a table with bucket, and the bucket's expression over turn. Buckets are how the work is laid out; the queue's order does not depend on them."""
+def _bucketed(sized: DataFrame, name: str) -> DataFrame:
+    """sized as a table with bucket. Buckets are how the work is laid out; the queue's order does not depend on them."""
     table = work_table(sized, name)
-    bucket = F.substring("turn", 1, max(LEAST_DIGITS, math.ceil(math.log(max(table.count() / BUCKET_ROWS, 1), 16))))
-    return table.withColumn("bucket", bucket), bucket
+    return table.withColumn("bucket", F.substring("turn", 1, max(1, math.ceil(math.log(max(table.count() / BUCKET_ROWS, 1), 16)))))
 
 
 def bucket_starts(sized: DataFrame, targets: DataFrame) -> DataFrame:
@@ -185,7 +184,7 @@ def mix_sources(
 ) -> DataFrame:
     """One row per document: key, size, source_size, target, taken."""
     sized = docs.select(F.col(key), "source", n_words(F.col("text")).alias("size"), queue_key(F.col(key), F.col("text")).alias("turn"))
-    sized, _ = _bucketed(sized, "mix")
+    sized = _bucketed(sized, "mix")
     targets = work_table(source_targets(sized, weights, share, most), "mix-targets")
     queued, handed = _handed(sized, targets, share, most, packet)
     return queued.join(handed, "place", "left").select(key, "size", "source_size", "target", taken_words(most).alias("taken"))
@@ -204,12 +203,14 @@ def mixed_rows(docs: DataFrame, key: str = "doc_id", weights=WEIGHTS, share: flo
     others = F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))])
     size, turn = n_words(F.col("text")), F.concat(queue_key(F.col(key), F.col("text")), F.hex(others))
     sized = docs.select(F.struct(*docs.columns).alias("row"), "source", size.alias("size"), turn.alias("turn"))
-    narrow, bucket = _bucketed(sized.drop("row"), "mix-sizes")
-    sized = sized.withColumn("bucket", bucket)
+    narrow = _bucketed(sized.drop("row"), "mix-sizes")
     targets = work_table(source_targets(narrow, weights, share, most), "mix-targets")
     _, handed = _handed(narrow, targets, share, most, None)
-    starts = work_table(bucket_starts(narrow, targets).join(handed, "place", "left").withColumn("handed", F.coalesce("handed", F.lit(0))), "mix-layout")
-    ends = starts.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "start", "source_size", "target", "handed")
+    # rows meet a table of their buckets that is small enough to be sent to them
+    layout = F.substring("turn", 1, max(1, int(math.log(max(BROADCAST_ROWS / max(targets.count(), 1), 1), 16))))
+    sized = sized.withColumn("bucket", layout)
+    starts = bucket_starts(narrow.withColumn("bucket", layout), targets).join(handed, "place", "left").withColumn("handed", F.coalesce("handed", F.lit(0)))
+    ends = bounded(work_table(starts, "mix-layout")).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "start", "source_size", "target", "handed")
     rows = sized.join(ends, sized["source"].eqNullSafe(ends["s"]) & (sized["bucket"] == ends["b"])).drop("s", "b")
     rows = rows.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
     rows = rows.withColumn("start", F.col("source_size") * F.col("pass") + F.col("start")).where("start < handed OR (size = 0 AND pass = 0)")
