@@ -64,7 +64,7 @@ LENGTH, GRAM = 200, 48
 SPAN = LENGTH - GRAM + 1
 CONTEXT = LENGTH + SPAN - 1
 #: Contexts in a block of one gram: about how many of a hot gram's meet in one family.
-BLOCK = 1024
+BLOCK = 2048
 #: Contexts after which a family ends at the next block's border (their windows take some 16 MB), and in one of its batches.
 FAMILY_ROWS, FAMILY_BATCH = 8192, 2048
 SEGMENT = 1 << 18
@@ -245,7 +245,8 @@ ROW = "gram long, block int, blocks int, rid long, rid2 long, pos int, left int,
 def _context_rows(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """gram, block, blocks, rid, rid2, pos, left, context bytes of the wanted anchors (gram, blocks, rid, rid2, pos), read from texts (rid, rid2, text)."""
     per_text = wanted.groupBy(*ID).agg(F.collect_set(F.struct("pos", "gram", "blocks")).alias("marks"))
-    joined = texts.join(per_text, ID).select(*ID, "text", *[F.col(f"marks.{c}").alias(c) for c in ("pos", "gram", "blocks")])
+    # a table, so that Spark can split the copies of one text over many tasks
+    joined = texts.join(work_table(per_text, "marks"), ID).select(*ID, "text", *[F.col(f"marks.{c}").alias(c) for c in ("pos", "gram", "blocks")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()  # copies of one text give the same rows
@@ -269,21 +270,33 @@ def _context_rows(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, ROW)
 
 
-def _intervals(ids: np.ndarray, hits: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """rid, rid2, pos, most, least of the contexts (n x 3 ids) with a hit; hits and offsets by window, in the order of ids' rows."""
-    row = np.flatnonzero(hits)
-    owner, offset = row if hits.ndim == 1 else row // hits.shape[1], offsets.ravel()[row]
+def _intervals(ids: np.ndarray, owners: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """rid, rid2, pos, most, least of the contexts (n x 3 ids) that own a repeated window, by its offset."""
     most, least = np.full(len(ids), -1), np.full(len(ids), SPAN)
-    np.maximum.at(most, owner, offset)
-    np.minimum.at(least, owner, offset)
+    np.maximum.at(most, owners, offsets)
+    np.minimum.at(least, owners, offsets)
     found = np.flatnonzero(most >= 0)
     return [ids[found, 0], ids[found, 1], ids[found, 2].astype(np.int32), most[found].astype(np.int32), least[found].astype(np.int32)]
 
 
 FAMILY = INTERVAL + ", gram long, salt int, windows binary"
-#: Salts for each block of a gram, so that a salt's share of a block's windows is a part of what a task holds.
-SALTS = 4
-PACKED = np.dtype([("key", "<u8"), ("rid", "<i8"), ("rid2", "<i8"), ("pos", "<i4"), ("offset", "<i2")])
+#: Salts for each block of a gram, so that a salt's share of a gram's windows is less than what a block holds.
+SALTS = 2
+
+
+def _packed(ids: np.ndarray, keys: np.ndarray, owners: np.ndarray, offsets: np.ndarray, known: np.ndarray) -> bytes:
+    """Contexts (n x 3 ids) and windows: key, place of the context, offset, and whether it is known to occur again."""
+    head = np.asarray([len(ids), len(keys)], "<u4")
+    return b"".join(x.tobytes() for x in (head, ids.astype("<i8"), keys.astype("<u8"), owners.astype("<u4"), offsets.astype("u1"), known.astype("u1")))
+
+
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    n, m = np.frombuffer(data, "<u4", 2)
+    out, at = [], 8
+    for kind, count in (("<i8", 3 * n), ("<u8", m), ("<u4", m), ("u1", m), ("u1", m)):
+        out.append(np.frombuffer(data, kind, count, at))
+        at += out[-1].nbytes
+    return [out[0].reshape(-1, 3), *out[1:4], out[4].astype(bool)]
 
 
 def _by_family(rows: DataFrame) -> DataFrame:
@@ -309,22 +322,23 @@ def _by_family(rows: DataFrame) -> DataFrame:
             hot = np.flatnonzero(blocks[cut] > 1)
             if len(hot):
                 row, offset = np.nonzero(exists[hot])
-                row = hot[row]
-                some = np.empty(len(row), PACKED)
-                for name, values in (("key", keys[row, offset]), ("rid", rid[cut][row]), ("rid2", rid2[cut][row]), ("pos", pos[cut][row]), ("offset", offset)):
-                    some[name] = values
-                shared.append((gram[cut][row], blocks[cut][row].astype(U) * U(SALTS), some))
+                shared.append((keys[hot[row], offset], hot[row] + at, offset))
         hits = family.hits().reshape(-1, SPAN)
-        found = _intervals(ids, hits, np.broadcast_to(np.arange(SPAN), hits.shape))
+        found = _intervals(ids, *np.nonzero(hits))
         yield pa.RecordBatch.from_arrays([*map(pa.array, found), *nothing(len(found[0]), packed)], names=names)
         if shared:
-            of, salts, some = (np.concatenate([x[i] for x in shared]) for i in range(3))
-            _, first = np.unique(some["key"], return_index=True)
-            of, salt, some = of[first], (some["key"][first] % salts[first]).astype(np.int32), some[first]
-            order = np.lexsort((salt, of))
-            of, salt, some = of[order], salt[order], some[order]
+            keys, row, offset = (np.concatenate([x[i] for x in shared]) for i in range(3))
+            _, first = np.unique(keys, return_index=True)
+            keys, row, offset = keys[first], row[first], offset[first]
+            salt = (keys % (blocks[row].astype(U) * U(SALTS))).astype(np.int32)
+            order = np.lexsort((salt, gram[row]))
+            keys, row, offset, salt = keys[order], row[order], offset[order], salt[order]
+            known, of = hits[row, offset], gram[row]
             edge = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (salt[1:] != salt[:-1])]))
-            data = [some[a:b].tobytes() for a, b in zip(edge, [*edge[1:], len(of)])]
+            data = []
+            for a, b in zip(edge, [*edge[1:], len(of)]):
+                mine, owners = np.unique(row[a:b], return_inverse=True)
+                data.append(_packed(ids[mine], keys[a:b], owners, offset[a:b], known[a:b]))
             yield pa.RecordBatch.from_arrays(
                 [*nothing(len(edge), whole), pa.array(of[edge]), pa.array(salt[edge]), pa.array(data, pa.binary())], names=names
             )
@@ -367,13 +381,15 @@ def _over_blocks(shared: DataFrame) -> DataFrame:
     """Intervals of contexts that share a window with one of another block: the blocks' arrays of a gram and salt are merged."""
 
     def merged(group: list[bytes]) -> Iterator[pa.RecordBatch]:
-        family = IndexFamily()
-        for data in group:
-            family.add(np.frombuffer(data, PACKED)["key"])
-        some = np.frombuffer(b"".join(group), PACKED)
-        some = some[family.hits()]
-        ids = np.stack([some["rid"], some["rid2"], some["pos"].astype(np.int64)], axis=1)
-        found = _intervals(ids, np.ones(len(ids), bool), some["offset"].astype(np.int64))
+        family, parts, base = IndexFamily(), [_unpacked(data) for data in group], 0
+        for _, keys, *_ in parts:
+            family.add(keys)
+        ids = np.concatenate([p[0] for p in parts])
+        owners = np.concatenate([p[2].astype(np.int64) + (base := base + k) for p, k in zip(parts, [0, *(len(p[0]) for p in parts[:-1])])])
+        offsets, known = (np.concatenate([p[i] for p in parts]) for i in (3, 4))
+        # what is known inside its block is covered there already
+        new = np.flatnonzero(family.hits() & ~known)
+        found = _intervals(ids, owners[new], offsets[new].astype(np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["rid", "rid2", "pos", "most", "least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
