@@ -9,7 +9,7 @@ from xml.sax.saxutils import escape
 from pyspark.sql import functions as F
 
 from foldsieve.functions import scalar
-from foldsieve.operators import metrics
+from foldsieve.operators import metrics, splits
 from foldsieve.plans import samples as S
 from foldsieve.plans.catalog import MACRO, MACRO_SQL, query, rounded
 from foldsieve.session import read, work_path
@@ -164,3 +164,63 @@ def fold_sizes(spark, sf_dir):
     return counts.crossJoin(F.broadcast(total)).select("fold", "test", (F.col("all") - F.col("test")).alias("train"))
 
 
+
+
+@query("SELECT l_orderkey, l_linenumber, round_even((l_orderkey % 16) / 1600.0::DOUBLE * 100 * 12.5, 1) AS pct FROM lineitem")
+def half_even_percent(spark, sf_dir):
+    """Percentages with one digit; halves go to the even digit."""
+    value = (F.col("l_orderkey") % 16) / F.lit(1600.0) * 12.5
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", metrics.percent(value).alias("pct"))
+
+
+@query(
+    "WITH a AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer), b AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) "
+    "SELECT a.i::BIGINT AS row_idx, c_custkey, o_orderkey FROM a JOIN b ON a.i = b.i"
+)
+def positional_join(spark, sf_dir):
+    """Two files zipped by place: each gets a gapless index, which is the key."""
+    left = S.contiguous_index(read(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+    right = S.contiguous_index(read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    return left.join(right, "row_idx").select(F.col("row_idx").cast("long").alias("row_idx"), "c_custkey", "o_orderkey")
+
+
+@query(
+    "SELECT d.doc_id, CASE WHEN d.doc_id % 3 = 0 THEN NULL ELSE (d.doc_id % 2)::INT END IS NULL AS missing, "
+    "CASE WHEN d.doc_id % 3 = 0 THEN 0 ELSE (d.doc_id % 2)::INT END AS pred FROM documents d"
+)
+def missing_as_negative(spark, sf_dir):
+    """A left lookup in a table that lacks some keys: what is missing counts as negative, and is marked."""
+    docs = read(spark, sf_dir, "documents").select("doc_id")
+    known = docs.where("doc_id % 3 <> 0").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("pred"))
+    found = docs.join(known, "doc_id", "left").withColumn("missing", F.col("pred").isNull())
+    return splits.assert_complete(found, "pred", policy="negative").select("doc_id", "missing", "pred")
+
+
+@query("WITH" + S.SAMPLES + " SELECT round(100 * avg((pred_a = y)::INT), 6) AS acc, round(100 * 2.0 * count(*) FILTER (WHERE y = 1 AND pred_a = 1) / (count(*) FILTER (WHERE y = 1) + count(*) FILTER (WHERE pred_a = 1)), 6) AS f1 FROM samples")
+def unguarded_metrics(spark, sf_dir):
+    """Accuracy over all rows and F1, in percent, without guards."""
+    y, p = F.col("y") == 1, F.col("pred_a") == 1
+    f1 = 2 * F.count_if(y & p) / (F.count_if(y) + F.count_if(p))
+    return S.samples(spark, sf_dir).agg(F.round(F.avg((F.col("pred_a") == F.col("y")).cast("int")) * 100, 6).alias("acc"), F.round(f1 * 100, 6).alias("f1"))
+
+
+@query("SELECT concat(s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN '.bin' ELSE '.dat' END) AS filename, octet_length(encode(s_name)) AS length FROM supplier")
+def folder_listing(spark, sf_dir):
+    """Files of a folder by name, with their sizes, sorted; the files are written first, one per supplier."""
+    folder = work_path(spark, "files")
+    rows = read(spark, sf_dir, "supplier")
+    name = F.concat(F.col("s_suppkey").cast("string"), F.when(F.col("s_suppkey") % 2 == 0, ".bin").otherwise(".dat"))
+    local = folder.removeprefix("file://")
+
+    def write(frames):
+        os.makedirs(local, exist_ok=True)
+        for frame in frames:
+            for filename, body in zip(frame["filename"], frame["body"]):
+                with open(f"{local}/{filename}", "wb") as file:
+                    file.write(body)
+            yield frame[["filename"]]
+
+    written = rows.select(name.alias("filename"), F.col("s_name").cast("binary").alias("body")).mapInPandas(write, "filename string")
+    written.write.format("noop").mode("overwrite").save()
+    files = spark.read.format("binaryFile").load(folder)
+    return files.select(scalar.basename(F.col("path")).alias("filename"), "length").orderBy("filename")
