@@ -119,7 +119,33 @@ def test_transitive_cluster_and_inclusive_threshold(spark):
     assert {tuple(r) for r in found} == {(0, 0), (1, 0), (2, 0), (3, 3)}
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("few", [0, 59, 60, 61])
+def test_components_either_way(spark, few, monkeypatch):
+    """The same labels by rounds and in one task, of graphs of random edges, loops and repeats, and of strings."""
+    import random
+
+    from foldsieve.operators import components
+
+    monkeypatch.setattr(components, "FEW", few)
+    rng = random.Random(4)
+    edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(5, 5), (7, 9), (9, 7)]
+    root = list(range(80))
+    for _ in edges:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {x: root[x] for a, b in edges if a != b for x in (a, b)}
+    frame = spark.createDataFrame(edges, "src long, dst long")
+    assert {r.node: r.component for r in connected_components(frame).collect()} == want
+    names = frame.selectExpr("format_string('n%02d', src) AS src", "format_string('n%02d', dst) AS dst")
+    assert {r.node: r.component for r in connected_components(names).collect()} == {f"n{k:02d}": f"n{v:02d}" for k, v in want.items()}
+    assert connected_components(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_components_of_a_long_chain(spark, few, monkeypatch):
+    from foldsieve.operators import components
+
+    monkeypatch.setattr(components, "FEW", few)
     edges = table(spark, [(i, i + 1) for i in range(300)] + [(1000, 1001)], "src long, dst long")
     found = {r.node: r.component for r in connected_components(edges).collect()}
     assert all(found[i] == 0 for i in range(301)) and found[1001] == 1000
