@@ -200,7 +200,8 @@ def near_duplicates(
     rows_of = docs.select(F.col(key).alias("__own"), "text", one.alias("__1"), two.alias("__2"))
     # a text whose every row has a null key is taken by that null
     same = (F.col("__1") == F.col("__one")) & (F.col("__2") == F.col("__two")) & F.col("__own").eqNullSafe(F.col("__key"))
-    texts = work_table(rows_of.join(first, same).select("tk", "text"), "texts").dropDuplicates(["tk"])
+    # repeated rows once; a table, so that Spark can split the rows of a hot hub over many tasks
+    texts = work_table(rows_of.join(first, same).select("tk", "text").dropDuplicates(["tk"]), "texts")
     sketch = unique.select("tk", "sketch")
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
